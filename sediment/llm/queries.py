@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from sediment.llm.packing import op7_best_fit_packing
+from sediment.llm.quality_rules import op4_quality_cascade
 from sediment.llm.secret_scan import op2_guess_cost_secrets
+from sediment.llm.url_filter import OP1_SQL, op1_bloom_cascade_urls
 
-QUERIES = {f.__name__: f for f in (op2_guess_cost_secrets, op7_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bloom_cascade_urls, op2_guess_cost_secrets, op4_quality_cascade, op7_best_fit_packing)}
+ORACLE_SQL: dict[str, str] = {"op1_bloom_cascade_urls": OP1_SQL}
