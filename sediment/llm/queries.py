@@ -6,6 +6,7 @@ from sediment.llm.packing import op7_best_fit_packing
 from sediment.llm.quality_rules import op4_quality_cascade
 from sediment.llm.secret_scan import op2_guess_cost_secrets
 from sediment.llm.url_filter import OP1_SQL, op1_bloom_cascade_urls
+from sediment.llm.warc import OP3_SQL, op3_warc_salvage
 
-QUERIES = {f.__name__: f for f in (op1_bloom_cascade_urls, op2_guess_cost_secrets, op4_quality_cascade, op7_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {"op1_bloom_cascade_urls": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_bloom_cascade_urls, op2_guess_cost_secrets, op3_warc_salvage, op4_quality_cascade, op7_best_fit_packing)}
+ORACLE_SQL: dict[str, str] = {"op1_bloom_cascade_urls": OP1_SQL, "op3_warc_salvage": OP3_SQL}
