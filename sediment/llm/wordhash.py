@@ -102,7 +102,7 @@ def words(column: pa.Array, lower: bool = True, prefixes: tuple[int, ...] = ()):
                 for k, p in enumerate(prefixes):
                     cut = np.where(place < p, value, np.uint64(0))
                     head = mix(np.add.reduceat(cut, begin) + np.uint64(1000 + p))
-                    heads[k].append(np.where(length > p, head, np.uint64(0)))
+                    heads[k].append(np.where(length >= p, head, np.uint64(0)))
             starts.append(begin + at)
             lengths.append(length)
             docs.append(np.searchsorted(offsets, begin + at, "right") - 1)
