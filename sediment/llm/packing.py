@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sediment.llm.staging import stage
 
-CACHE_CHUNKS = 600_000  # distinct text chunks whose ids a worker keeps; the cache starts anew beyond it
+CACHE_CHUNKS = 1_200_000  # distinct text chunks whose ids a worker keeps; the cache starts anew beyond it
 GROUP_PIECES = 20_000  # pieces packed together: a group wastes at most about one bin in several thousand
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,7 +33,9 @@ class ChunkEncoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
-    space-separated chunks in order; frequent chunks come from a cache, the rest from one batch call.
+    space-separated chunks in order; frequent chunks come from a cache, the rest from batch calls.
+    A chunk of Latin letters and one final stop or comma is the lower-cased word and the mark: the
+    tokenizer lower-cases and splits letters from marks, so case and mark variants share one call.
     """
 
     def __init__(self, path: str | None, name: str):
@@ -48,16 +51,30 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, chunks: list[str]) -> None:
+        for k in range(0, len(chunks), 4096):
+            some = chunks[k : k + 4096]
+            for chunk, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known = {}
         known = self.known
-        new = list(set().union(*parts).difference(known))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for chunk, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[chunk] = np.array(got.ids, "<u4").tobytes()
+        new = set().union(*parts).difference(known)
+        plain, variants = [], []
+        for chunk in new:
+            mark = chunk[-1:] if chunk[-1:] in (".", ",") else ""
+            word = chunk[: len(chunk) - len(mark)]
+            stem = word.lower()
+            if stem != chunk and word.isalpha() and max(word) < "\u0130":
+                variants.append((chunk, stem, mark))
+            else:
+                plain.append(chunk)
+        self._learn([*plain, *{x for _, stem, mark in variants for x in (stem, mark) if x and x not in known}.difference(plain)])
+        for chunk, stem, mark in variants:
+            known[chunk] = known[stem] + known[mark] if mark else known[stem]
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
         for chunk in new:
             if len(chunk) > 64:
@@ -65,6 +82,15 @@ class ChunkEncoder:
         return out
 
 
+_encoders: dict[tuple, ChunkEncoder] = {}  # of this worker process, kept from task to task
+
+
+def encoder_of(path: str | None, name: str) -> ChunkEncoder:
+    if (path, name) not in _encoders:
+        _encoders[path, name] = ChunkEncoder(path, name)
+    return _encoders[path, name]
+
+
 def _texts(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of rows of about `limit` characters."""
     at, size, run = 0, 0, []
@@ -84,7 +110,7 @@ def tokenize_pieces(docs: DataFrame, max_tokens: int = 4096, end_id: int = 1, to
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = ChunkEncoder(path, tokenizer)
+        encoder = encoder_of(path, tokenizer)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for at, texts in _texts(batch, "text"):
@@ -163,7 +189,7 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, max_docs: int = 4096,
         out = table.select(columns).append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
         yield from out.to_batches()
 
-    schema = staged.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*staged.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return dealt.repartition(groups, "_group").mapInArrow(run, schema)
 
 
