@@ -1,30 +1,67 @@
-"""Corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() chains them over documents."""
+"""Corpus pipeline: documents to packed training sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; run()
+writes each result as Parquet and reads it as the next stage's docs. All stages but the last keep
+the columns of documents. The classifier, the similarity groups and the tokenizer can't be put in
+SQL, so ORACLE_SQL is None and the tests compare with brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sediment.llm.mixing import mix_documents
+from sediment.llm.ngram_join import jaccard_components
 from sediment.llm.packing import pack_pieces, tokenize_pieces
 from sediment.llm.secret_scan import redact_secrets
 from sediment.llm.staging import stage
+from sediment.llm.toxicity import toxicity_scores
+
+TOXIC_FROM = 0.3  # score from which a document is rejected
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below TOXIC_FROM; null and empty texts stay."""
+    scored = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter(F.col("score") < TOXIC_FROM).drop("score")
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id, once. Rows without an id stay."""
+    groups = jaccard_components(docs)
+    heads = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret span by a mark; keeps all rows and columns."""
+    """Every secret span replaced by a mark; all rows and columns stay."""
     return redact_secrets(docs)
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that source, language and topic meet their target shares of tokens."""
+    return mix_documents(docs).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into 4096-token sequences: the rows of the packing query."""
+    """What is left, packed into 4096-token sequences: the rows of the packing query."""
     return pack_pieces(tokenize_pieces(docs))
 
 
-STAGES = [("secret scans", secret_scan), ("best-fit packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mixing),
+    ("best-fit packing", packing),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage_function in STAGES[:-1]:
-        docs = stage(stage_function(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
