@@ -1,6 +1,6 @@
 """A store: a folder of key-sorted Parquet runs and a manifest log, read and written as DataFrames.
 
-Folder layout: data/NNNNNN/ (one run each), manifest/NNNNNNNNNN.json (one edit each). An edit is
+Folder layout: data/NNNNNN-xxxxxxxx/ (one run each), manifest/NNNNNNNNNN.json (one edit each). An edit is
 committed by creating its file only if it is absent, which Hadoop file systems do atomically; a
 writer that loses the race fails and can retry. Readers fix a version when they open it.
 """
@@ -8,6 +8,7 @@ writer that loses the race fails and can retry. Readers fix a version when they
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,12 +147,13 @@ class Store:
     def _runs(self, files: list[dict]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{f['file_number']:06d}" for f in files])
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{f['dir']}" for f in files])
 
     def _write_run(self, rows: DataFrame, level: int) -> dict | None:
         """One sorted run: ranges of key, sorted inside, with min/max statistics and a Bloom filter on key."""
         number = self._state["next_file_number"]
-        target = f"{self.path}/data/{number:06d}"
+        name = f"{number:06d}-{uuid.uuid4().hex[:8]}"  # two writers may take the same number; only one of them commits it
+        target = f"{self.path}/data/{name}"
         ordered = rows.select("key", "seq", "kind", "value").repartitionByRange("key").sortWithinPartitions("key", F.desc("seq"), F.desc("kind"))
         ordered.write.option("compression", self._state["codec"]).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(BLOOM_KEYS)).parquet(target)
         stored = self.spark.read.schema(self.schema).parquet(target)
@@ -164,7 +166,7 @@ class Store:
             fs.delete(root, True)
             return None
         plain = low if isinstance(low, int | float | str) else str(low)
-        return {"level": level, "file_number": number, "n_entries": n, "file_size": size, "smallest_key": plain, "largest_key": high if isinstance(high, int | float | str) else str(high), "largest_seq": top}
+        return {"level": level, "file_number": number, "dir": name, "n_entries": n, "file_size": size, "smallest_key": plain, "largest_key": high if isinstance(high, int | float | str) else str(high), "largest_seq": top}
 
     # writing
 
@@ -270,16 +272,17 @@ class Store:
 
     def collect_garbage(self, keep_versions: tuple[int, ...] = ()) -> list[int]:
         """Delete run folders that neither the current version nor a kept one refers to."""
-        live = set(self._state["files"])
+        live = {f["dir"] for f in self.files()}
         for v in keep_versions:
-            live |= set(self._fold(self.spark, self.path, v)["files"])
+            live |= {f["dir"] for f in self._fold(self.spark, self.path, v)["files"].values()}
         fs, root = self._fs(self.spark, f"{self.path}/data")
         gone = []
         for status in fs.listStatus(root) if fs.exists(root) else []:
             name = status.getPath().getName()
-            if name.isdigit() and int(name) not in live and int(name) < self._state["next_file_number"]:
+            number = name.partition("-")[0]
+            if number.isdigit() and name not in live and int(number) < self._state["next_file_number"]:
                 fs.delete(status.getPath(), True)
-                gone.append(int(name))
+                gone.append(int(number))
         return sorted(gone)
 
     # introspection
