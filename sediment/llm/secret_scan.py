@@ -40,6 +40,7 @@ COMMON = (
 ).split()
 RANK = {w: k + 1 for k, w in reversed(list(enumerate(COMMON)))}
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+_COLUMN = {c: k for row in ROWS for k, c in enumerate(row)}
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:])}
 _NEXT |= {(b, a) for a, b in _NEXT}
 LEET = str.maketrans("4@301!$57", "aaeoiisst")
@@ -77,7 +78,7 @@ def guess_bits(value: str) -> float:
     for a, b in repeats:
         jumps.setdefault(a, []).append((b, part + _brute_bits(value[a]) + math.log2(b - a)))
     for a, b in walks:
-        turns = sum((low[k] < low[k - 1]) != (low[k + 1] < low[k]) for k in range(a + 1, b - 1))
+        turns = sum((_COLUMN[low[k]] < _COLUMN[low[k - 1]]) != (_COLUMN[low[k + 1]] < _COLUMN[low[k]]) for k in range(a + 1, b - 1))
         jumps.setdefault(a, []).append((b, part + math.log2(47) + math.log2(b - a) + 2.0 * turns))
     at = 0
     while m := DATE.search(value, at):
