@@ -69,8 +69,8 @@ def edits(spark, sf):
 
 
 def asked(spark, sf):
-    """Keys that are asked for: part keys below 300, of which some are customers or users."""
-    return _table(spark, sf, "part").filter("p_partkey < 300").select(F.col("p_partkey").alias("key"))
+    """Keys that are asked for: all part keys, of which some are users."""
+    return _table(spark, sf, "part").select(F.col("p_partkey").alias("key"))
 
 
 def ops(spark, sf):
@@ -83,7 +83,7 @@ EV = "ev AS (SELECT user_id AS key, event_id + 1 AS seq, CASE WHEN event_type =
 ORD = "ord AS (SELECT o_custkey AS key, o_orderkey + 1 AS seq, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS kind, o_totalprice AS value FROM orders)"
 RUNS = f"{EV}, r0 AS (SELECT *, CASE WHEN seq % 10 = 0 THEN 0 ELSE (1 + seq % 3)::INT END AS level FROM ev), runs AS (SELECT *, CASE WHEN level = 0 THEN seq // 500 ELSE level * 1000 + key // 7 END::BIGINT AS file_number FROM r0)"
 FILES = f"{RUNS}, files AS (SELECT level, file_number, (count(*) * 100)::BIGINT AS file_size, min(key) AS smallest_key, max(key) AS largest_key FROM runs GROUP BY ALL)"
-ASKED = "asked AS (SELECT DISTINCT p_partkey AS key FROM part WHERE p_partkey < 300)"
+ASKED = "asked AS (SELECT DISTINCT p_partkey AS key FROM part)"
 OPS = "ops AS (SELECT conv_id AS batch, turn AS ordinal, CASE WHEN role = 'user' THEN 1 WHEN turn % 5 = 4 THEN 0 ELSE 1 END AS kind, conv_id % 50 AS key, length(text)::DOUBLE AS value FROM conversations)"
 EDITS = """ed AS (SELECT o_orderkey AS edit_id, o_orderkey % 7 AS level, o_orderkey AS file_number, o_orderkey * 10 AS file_size, o_orderstatus = 'F' AND o_orderkey > 37 AS del, o_custkey FROM orders),
  acts AS (SELECT edit_id, 1 AS is_add, level, file_number, file_size FROM ed UNION ALL SELECT edit_id, 0, (file_number - 37) % 7, file_number - 37, NULL FROM ed WHERE del),
@@ -150,8 +150,8 @@ query("kv_bulk_seek_before", f"{LIVE}, {ASKED} SELECT key AS bound, (SELECT max(
 
 # batches
 query("wb_assign_seq", f"WITH {OPS} SELECT batch, ordinal, kind::TINYINT AS kind, key, value, 100 + row_number() OVER (ORDER BY batch, ordinal) AS seq FROM ops")(lambda s, d: batch.assign_sequences(ops(s, d), 100))
-query("wb_chain", f"WITH {OPS} SELECT 0::BIGINT AS batch, ordinal, kind::TINYINT AS kind, key, value FROM ops WHERE batch = 3 UNION ALL SELECT 1, ordinal, kind::TINYINT, key, value FROM ops WHERE batch = 5")(
-    lambda s, d: batch.chain(*[ops(s, d).filter(F.col("batch") == n).select("ordinal", "kind", "key", "value") for n in (3, 5)]).select("batch", "ordinal", "kind", "key", "value")
+query("wb_chain", f"WITH {OPS} SELECT 0::BIGINT AS batch, ordinal, kind::TINYINT AS kind, key, value FROM ops WHERE kind = 1 UNION ALL SELECT 1, ordinal, kind::TINYINT, key, value FROM ops WHERE kind = 0")(
+    lambda s, d: batch.chain(*[ops(s, d).filter(F.col("kind") == n).select("ordinal", "kind", "key", "value") for n in (1, 0)]).select("batch", "ordinal", "kind", "key", "value")
 )
 query("wb_apply", f"WITH {EV}, {OPS}, al AS (SELECT key, seq, kind, value FROM ev UNION ALL SELECT key, 1000000000 + row_number() OVER (ORDER BY batch, ordinal), kind, value FROM ops), {_live('al')} SELECT * FROM live")(
     lambda s, d: log.resolve(batch.apply_batches(ev(s, d), ops(s, d), 1_000_000_000))
@@ -260,19 +260,19 @@ query("fn_tag", "SELECT event_id, ((event_id + 1) * 256 + CASE WHEN event_type =
 )
 
 
-@query("bloom_probe", "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0")
+@query("bloom_probe", "SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def bloom_probe(s, d):
     """Filters per hundred keys built by one grouped pass, probed with all keys: no listed key is missed. False positives are dropped by the exact check that follows."""
     import pyarrow as pa
 
-    keys = _table(s, d, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 100).alias("chunk"))
+    keys = _table(s, d, "customer").select("c_custkey", "c_acctbal", F.floor(F.col("c_custkey") / 100).alias("chunk"))
 
     def build(table):
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "filter": [codec.bloom_build([b"%d" % k for k in table.column("c_custkey").to_pylist()])]})
 
-    filters = keys.filter("c_custkey % 2 = 0").groupBy("chunk").applyInArrow(build, "chunk long, filter binary")
+    filters = keys.filter("c_acctbal > 0").select("c_custkey", "chunk").groupBy("chunk").applyInArrow(build, "chunk long, filter binary")
     probe = _udf(lambda f, k: codec.bloom_match(bytes(f), b"%d" % k), "boolean")
-    return keys.join(filters, "chunk").filter(probe("filter", "c_custkey")).filter("c_custkey % 2 = 0").select("c_custkey")
+    return keys.join(filters, "chunk").filter(probe("filter", "c_custkey")).filter("c_acctbal > 0").select("c_custkey")
 
 
 def _binary_log(s, d):
