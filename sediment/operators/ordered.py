@@ -35,3 +35,18 @@ def neighbour(rows: DataFrame, key: str, found: Column, after: bool, name: str)
     edges = dealt.groupBy("_part").agg(edge("_found").alias("_edge"))  # one row a range
     beyond = edges.select("_part", pick("_edge", ignorenulls=True).over(far).alias("_far"))
     return inside.join(beyond, "_part").withColumn(name, F.coalesce("_near", "_far")).drop("_part", "_near", "_far", "_found")
+
+
+def sum_before(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """(at, total): for each asked `at`, the sum of `amount` over points (at, amount) strictly before it.
+
+    Points and questions are merged in order, so nothing is compared pair by pair.
+    """
+    merged = points.select("at", F.col("amount").cast("long").alias("amount"), F.lit(0).alias("q")).union(asked.select("at", F.lit(0).cast("long"), F.lit(1)))
+    merged = merged.groupBy("at").agg(F.sum("amount").alias("amount"), F.max("q").alias("q"))
+    dealt = in_ranges(merged, "at")
+    inside = dealt.withColumn("_in", F.sum("amount").over(Window.partitionBy("_part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)))
+    sums = dealt.groupBy("_part").agg(F.sum("amount").alias("_sum"))  # one row a range
+    before = sums.select("_part", F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    total = F.coalesce("_in", F.lit(0)) + F.coalesce("_before", F.lit(0))
+    return inside.join(before, "_part").filter("q = 1").select("at", total.cast("long").alias("total"))

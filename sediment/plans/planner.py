@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sediment.operators.ordered import sum_before
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -130,20 +132,20 @@ def output_cuts(entries: DataFrame, files: DataFrame, level: int, cap: int) -> D
     """`entries` (key) with output: a new output file starts when the grandparent bytes passed since the last start exceed `cap`.
 
     The rule's running total resets at each cut; cutting on floor(total / cap) of the bytes passed keeps each output's overlap within
-    one file of the cap and needs no sequential scan. Grandparents of a level are disjoint, so bytes passed is a range lookup.
+    one file of the cap and needs no sequential scan.
     """
-    in_order = Window.partitionBy("level").orderBy("largest_key")
-    grand = files.filter(F.col("level") == level + 2).withColumn("_passed", F.sum("file_size").over(in_order))
-    steps = grand.select(F.col("largest_key").alias("_upto"), "_passed")
-    passed = entries.select("key").distinct().join(steps, F.col("_upto") < F.col("key"), "left").groupBy("key").agg(F.coalesce(F.max("_passed"), F.lit(0)).alias("_passed"))
-    return passed.select("key", F.floor(F.col("_passed") / cap).cast("long").alias("output"))
+    passed = files.filter(F.col("level") == level + 2).select(F.col("largest_key").alias("at"), F.col("file_size").alias("amount"))
+    out = sum_before(passed, entries.select(F.col("key").alias("at")).distinct())
+    return out.select(F.col("at").alias("key"), F.floor(F.col("total") / cap).cast("long").alias("output"))
 
 
 def approximate_offset(files: DataFrame, keys: DataFrame) -> DataFrame:
     """Per key: bytes of files wholly before it plus half of those it falls into."""
-    part = F.when(F.col("largest_key") < F.col("key"), F.col("file_size")).when(F.col("smallest_key") < F.col("key"), F.floor(F.col("file_size") / 2)).otherwise(F.lit(0))
-    joined = keys.select("key").distinct().join(files.select("smallest_key", "largest_key", "file_size"), F.col("smallest_key") < F.col("key"), "left")
-    return joined.groupBy("key").agg(F.coalesce(F.sum(part), F.lit(0)).cast("long").alias("offset"))
+    half = F.floor(F.col("file_size") / 2)
+    begins = files.select(F.col("smallest_key").alias("at"), half.alias("amount"))
+    ends = files.select(F.col("largest_key").alias("at"), (F.col("file_size") - half).alias("amount"))
+    out = sum_before(begins.union(ends), keys.select(F.col("key").alias("at")).distinct())
+    return out.select(F.col("at").alias("key"), F.col("total").alias("offset"))
 
 
 def level_summary(files: DataFrame) -> DataFrame:
