@@ -32,8 +32,8 @@ class ConflictError(StoreError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, state: dict):
-        self.spark, self.path, self._state, self._closed = spark, path.rstrip("/"), state, False
+    def __init__(self, spark: SparkSession, path: str, state: dict, limits: Limits = Limits()):
+        self.spark, self.path, self._state, self._closed, self.limits = spark, path.rstrip("/"), state, False, limits
 
     # opening and closing
 
@@ -51,8 +51,7 @@ class Store:
             types = StructType.fromDDL(schema or "key binary, value binary")
             first = {"edit_id": 1, "comparator": comparator, "schema": types.jsonValue(), "codec": codec, "next_file_number": 1, "last_sequence": 0, "added": [], "deleted": []}
             cls._create(spark, f"{path}/manifest/{1:010d}.json", json.dumps(first))
-        store = cls(spark, path, cls._fold(spark, path))
-        store.limits = limits
+        store = cls(spark, path, cls._fold(spark, path), limits)
         if store._state["comparator"] != comparator:
             raise StoreError(f"the store's comparator is {store._state['comparator']}")
         return store
@@ -156,17 +155,23 @@ class Store:
         target = f"{self.path}/data/{name}"
         ordered = rows.select("key", "seq", "kind", "value").repartitionByRange("key").sortWithinPartitions("key", F.desc("seq"), F.desc("kind"))
         ordered.write.option("compression", self._state["codec"]).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(BLOOM_KEYS)).parquet(target)
+        entry = self._describe(name, number, level)
+        if entry is None:
+            fs, root = self._fs(self.spark, target)
+            fs.delete(root, True)
+        return entry
+
+    def _describe(self, name: str, number: int, level: int) -> dict | None:
+        """The manifest entry of a run folder, from its own rows; None if it has none. Counts and ends come from Parquet footers where Spark can push them down."""
+        target = f"{self.path}/data/{name}"
         stored = self.spark.read.schema(self.schema).parquet(target)
-        key = stored.schema["key"].dataType.typeName()
-        show = F.hex if key == "binary" else (lambda c: F.col(c) if isinstance(c, str) else c)
-        n, low, high, top = stored.agg(F.count("*"), F.min("key"), F.max("key"), F.max("seq")).select("count(1)", show("min(key)"), show("max(key)"), "max(seq)").first()
-        fs, root = self._fs(self.spark, target)
-        size = fs.getContentSummary(root).getLength()
+        show = F.hex if stored.schema["key"].dataType.typeName() == "binary" else (lambda c: c)
+        n, low, high, top = stored.agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("seq").alias("top")).select("n", show(F.col("low")), show(F.col("high")), "top").first()
         if not n:
-            fs.delete(root, True)
             return None
-        plain = low if isinstance(low, int | float | str) else str(low)
-        return {"level": level, "file_number": number, "dir": name, "n_entries": n, "file_size": size, "smallest_key": plain, "largest_key": high if isinstance(high, int | float | str) else str(high), "largest_seq": top}
+        fs, root = self._fs(self.spark, target)
+        plain = lambda k: k if isinstance(k, int | float | str) else str(k)
+        return {"level": level, "file_number": number, "dir": name, "n_entries": n, "file_size": fs.getContentSummary(root).getLength(), "smallest_key": plain(low), "largest_key": plain(high), "largest_seq": top}
 
     # writing
 
@@ -246,30 +251,82 @@ class Store:
     def compact(self, level: int | None = None) -> bool:
         """Merge a level into the next; without `level`, the most pressing one. Snapshots keep seeing what they saw."""
         level = self.pick_level() if level is None else level
-        if level is None:
-            return False
-        base = [f for f in self.files() if f["level"] == level]
-        if not base:
-            return False
+        base = [] if level is None else [f for f in self.files() if f["level"] == level]
+        return self._merge(base, level) if base else False
+
+    def compact_range(self, low=None, high=None) -> int:
+        """Push what overlaps [low, high] down level by level; returns how many merges ran."""
+        merges = 0
+        for level in range(max((f["level"] for f in self.files()), default=0)):
+            shown = (lambda k: k.hex().upper()) if self.schema["key"].dataType.typeName() == "binary" else (lambda k: k)
+            meets = lambda f: (low is None or f["largest_key"] >= shown(low)) and (high is None or f["smallest_key"] <= shown(high))  # noqa: B023, E731
+            base = [f for f in self.files() if f["level"] == level and meets(f)]
+            merges += bool(base) and self._merge(base, level)
+        return merges
+
+    def _merge(self, base: list[dict], level: int) -> bool:
         low, high = min(f["smallest_key"] for f in base), max(f["largest_key"] for f in base)
         meets = lambda f: f["smallest_key"] <= high and f["largest_key"] >= low
         parents = [f for f in self.files() if f["level"] == level + 1 and meets(f)]
         if len(base) == 1 and not parents:  # a metadata edit moves it
             self._commit(added=[base[0] | {"level": level + 1}], deleted=[base[0]["file_number"]])
             return True
-        deeper = [f for f in self.files() if f["level"] > level + 1]
+        gone = [f["file_number"] for f in base + parents]
+        others = [f for f in self.files() if f["file_number"] not in gone]  # any of them may hold what a delete still hides
         below = None
-        if deeper:
+        if others:
             kind = self.schema["key"].dataType
-            ranges = self.spark.createDataFrame([(f["smallest_key"], f["largest_key"]) for f in deeper], ["smallest_key", "largest_key"])
+            ranges = self.spark.createDataFrame([(f["smallest_key"], f["largest_key"]) for f in others], ["smallest_key", "largest_key"])
             typed = (lambda c: F.unhex(c)) if kind.typeName() == "binary" else (lambda c: F.col(c).cast(kind))
             below = ranges.select(typed("smallest_key").alias("smallest_key"), typed("largest_key").alias("largest_key"))
-        merged = compact(self._runs(base + parents), self.oldest_snapshot(), below)
-        added = self._write_run(merged, level + 1)
-        gone = [f["file_number"] for f in base + parents]
+        added = self._write_run(compact(self._runs(base + parents), self.oldest_snapshot(), below), level + 1)
         self._commit(added=[added] if added else [], deleted=gone, next_file_number=self._state["next_file_number"] + bool(added))
         return True
 
+    # copies and repair
+
+    def checkpoint(self, target: str) -> Store:
+        """A new store at `target` with the runs of the current version."""
+        fs, _ = self._fs(self.spark, self.path)
+        out, root = self._fs(self.spark, target)
+        if out.exists(root):
+            raise StoreError("the target exists")
+        copy = self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy
+        for f in self.files():
+            copy(fs, self._hadoop(self.spark, f"{self.path}/data/{f['dir']}"), out, self._hadoop(self.spark, f"{target}/data/{f['dir']}"), False, self.spark._jsc.hadoopConfiguration())
+        keep = {k: v for k, v in self._state.items() if k not in ("files", "edit_id")}
+        self._create(self.spark, f"{target}/manifest/{1:010d}.json", json.dumps({"edit_id": 1, **keep, "added": self.files(), "deleted": []}))
+        return Store.open(self.spark, target, comparator=keep["comparator"])
+
+    @classmethod
+    def repair(cls, spark: SparkSession, path: str, schema: str, comparator: str = "bytewise", codec: str = "zstd") -> Store:
+        """Rebuild the manifest from whatever runs can be read, all in level 0; the old manifest is kept aside. Versions resolve by sequence number, so no live row changes."""
+        path = path.rstrip("/")
+        fs, _ = cls._fs(spark, path)
+        old = cls._hadoop(spark, f"{path}/manifest")
+        if fs.exists(old):
+            fs.rename(old, cls._hadoop(spark, f"{path}/manifest-{uuid.uuid4().hex[:8]}"))
+        types = StructType.fromDDL(schema)
+        state = {"comparator": comparator, "schema": types.jsonValue(), "codec": codec, "last_sequence": 0, "next_file_number": 1, "files": {}, "edit_id": 0}
+        store, added = cls(spark, path, state), []
+        data = cls._hadoop(spark, f"{path}/data")
+        for status in fs.listStatus(data) if fs.exists(data) else []:
+            name = status.getPath().getName()
+            number = name.partition("-")[0]
+            try:
+                entry = store._describe(name, int(number), 0)
+            except Exception:  # not a readable run: left where it is
+                continue
+            if entry:
+                added.append(entry)
+        numbers = [f["file_number"] for f in added]
+        if len(set(numbers)) < len(numbers):  # runs of writers that lost a race: the commit cannot be known, so each keeps a number of its own
+            for k, f in enumerate(added):
+                f["file_number"] = k + 1
+        edit = {k: v for k, v in state.items() if k != "files"} | {"edit_id": 1, "added": added, "deleted": [], "next_file_number": max([0, *(f["file_number"] for f in added)]) + 1, "last_sequence": max([0, *(f["largest_seq"] for f in added)])}
+        cls._create(spark, f"{path}/manifest/{1:010d}.json", json.dumps(edit))
+        return cls.open(spark, path, comparator=comparator)
+
     def collect_garbage(self, keep_versions: tuple[int, ...] = ()) -> list[int]:
         """Delete run folders that neither the current version nor a kept one refers to."""
         live = {f["dir"] for f in self.files()}

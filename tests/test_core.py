@@ -67,6 +67,15 @@ def test_store_against_a_dictionary(spark, tmp_path):
         held = {f["file_number"] for f in store.files()}
         assert store.collect_garbage() and {f["file_number"] for f in store.files()} == held
         assert {r.key: r.value for r in store.scan().collect()} == model
+        copy = store.checkpoint(str(tmp_path / "copy"))
+        assert {r.key: r.value for r in copy.scan().collect()} == model
+        copy.write(WriteBatch().put(3, "three").delete(4))
+        copy.write(WriteBatch().put(3, "drei"))
+        assert copy.compact_range(2, 5) + copy.compact_range() >= 1
+        expect = {k: v for k, v in model.items() if k != 4} | {3: "drei"}
+        assert {r.key: r.value for r in copy.scan().collect()} == expect
+        copy.collect_garbage()
+        assert {r.key: r.value for r in Store.repair(spark, str(tmp_path / "copy"), "key long, value string").scan().collect()} == expect
         other = Store.open(spark, str(tmp_path / "db"))
         other.put(1, "x")
         with pytest.raises(ConflictError):
