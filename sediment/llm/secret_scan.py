@@ -154,15 +154,21 @@ def redact_text(text: str | None, min_bits: float = MIN_BITS, mark: str = "[SECR
 
 
 def redact_secrets(docs: DataFrame, min_bits: float = MIN_BITS) -> DataFrame:
-    """`docs` with secrets in text replaced and n_chars following; no row goes and no other column changes."""
-    import pandas as pd
+    """`docs` with secrets in text replaced and n_chars, if there, following; no row goes and no other column changes."""
+    at = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact_text(t, min_bits), na_action="ignore")
-
-    changed = docs.withColumn("text", clean("text"))
-    return changed.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns) if "n_chars" in docs.columns else changed
+    def run(batches):
+        for batch in batches:
+            columns = list(batch.columns)
+            texts = [redact_text(t, min_bits) for t in columns[at].to_pylist()]
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            if size is not None:
+                old = columns[size].to_pylist()
+                columns[size] = pa.array([n if t is None else len(t) for t, n in zip(texts, old)], batch.schema.field(size).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_guess_cost_secrets(spark, sf_dir: str) -> DataFrame:

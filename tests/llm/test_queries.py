@@ -16,7 +16,7 @@ from sediment.llm.mixing import mix_documents, rake
 from sediment.llm.packing import best_fit, fill_sequences, pack_pieces, tokenize_pieces
 from sediment.llm.quality_crf import LineField, quality_scores
 from sediment.llm.quality_rules import quality_cascade
-from sediment.llm.secret_scan import find_spans, guess_bits, redact_text, scan_secrets
+from sediment.llm.secret_scan import find_spans, guess_bits, redact_secrets, redact_text, scan_secrets
 from sediment.llm.toxicity import toxicity_scores
 from sediment.llm.url_filter import filter_urls
 
@@ -74,6 +74,9 @@ def test_guess_cost_is_a_minimum():
 
 def test_secrets_and_rules_on_odd_rows(spark, odd):
     assert sorted(r.doc_id or 0 for r in scan_secrets(odd).collect()) == [0, 1, 2, 2, 5]
+    leak = odd.withColumn("text", F.when(F.col("doc_id") == 5, "a password=secret99 b").otherwise(F.col("text")))
+    clean = {r.doc_id: (r.text, r.n_chars) for r in redact_secrets(leak).collect()}
+    assert clean == {1: (None, None), 2: ("", 0), None: ("a b c", 5), 5: ("a [SECRET] b", 12)} and redact_secrets(leak).columns == odd.columns
     got = {r.doc_id: r for r in quality_cascade(odd.select("doc_id", "text")).collect()}
     assert got[1].n_words == 0 and got[1].base_failed and not got[2].kept
     assert got[5].n_words == 9000 and got[5].n_repeat_words == 9000
