@@ -13,11 +13,14 @@ How it runs without all pairs:
    rarer tokens come first: those that repeat inside tasks are counted, and the most frequent go
    last, so a passage that thousands share is not what documents meet on. The order changes cost,
    never results.
-3. Classes that share a prefix token form a token group. First each member is verified against the
-   group's pivot and its neighbour in size, a number of pairs in proportion to the group.
+3. Classes that share a prefix token form a token group. Each member is bounded against the group's
+   pivot and its neighbour in size, a number of pairs in proportion to the group, and each class's
+   most promising pair is verified.
 4. Only groups whose members are still in different components go to the R-trees: groups are cut
    into blocks, block pairs inside one component are skipped, and each remaining block pair is one
-   bounded task that searches, verifies and joins components as it goes.
+   bounded job whose tree gives the candidate pairs of different components. Pairs are verified in
+   the clusters they form, joining components as they go, so a link inside a component is never
+   tried; a cluster with very many candidates is searched again by a tree, with whole sets at hand.
 
 Nulls and edges: a null or empty text (or one of white space) has an empty set and links with
 nothing, its own kind included; rows with a null doc_id have no component (null) but their count;
@@ -34,11 +37,15 @@ from pyspark.sql import functions as F
 
 from sediment.llm import wordhash
 from sediment.llm.components import components
-from sediment.llm.staging import drop, partitions, stage
+from sediment.llm.staging import drop, partitions, release, small_batches, stage
 
 GROUPS = 128  # coordinates of a point
+FINE_GROUPS = 1024  # and of a set of at least FINE_FROM tokens, whose coarse point is its fold: large sets need them to tell strangers apart
+FINE_FROM = 1024
 LEAF = 16  # points of a leaf and children of a node
-BLOCK = 512  # members of a block
+BLOCK = 512  # members of a token group's block
+CLUSTER_BLOCK = 1024  # members of a candidate cluster's block
+DENSE = 8  # candidate pairs a member from which a job names its members and not its pairs
 HEAVY_LOCAL = 8  # occurrences inside a task that make a token worth counting
 HEAVY_MAX = 1 << 17  # most frequent tokens that go last in the order: 2 MB, broadcast
 BUFFER = 2_000_000  # prefix entries a task holds before it writes them out
@@ -58,8 +65,8 @@ def _class_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, cls) for documents; rows (token, hits) for tokens frequent inside a task."""
-    names = ["doc_id", "n", "cls", "token", "hits"]
+    """Rows (doc_id, n, cls, point) for documents; rows (token, hits) for tokens frequent inside a task. A class has its point once a task."""
+    names = ["doc_id", "n", "cls", "point", "token", "hits"]
 
     def run(batches):
         seen, held, size = set(), [], 0
@@ -68,19 +75,20 @@ def signatures(docs: DataFrame) -> DataFrame:
             token, hits = np.unique(np.concatenate(held), return_counts=True)
             token, hits = token[hits >= HEAVY_LOCAL], hits[hits >= HEAVY_LOCAL]
             none = pa.nulls(len(token), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(token.view(np.int64)), pa.array(hits.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(token), pa.binary()), pa.array(token.view(np.int64)), pa.array(hits.astype(np.int64))], names)
 
         for batch in batches:
             doc, token = wordhash.shingles(batch.column(1), SHINGLE)
             bounds = _per_doc(doc, batch.num_rows)
             n, cls = np.diff(bounds), _class_keys(token, bounds)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls.view(np.int64), mask=n == 0), none, none], names)
             fresh = np.zeros(batch.num_rows, bool)
             for k, c in enumerate(cls.tolist()):
                 if c not in seen:
                     seen.add(c)
-                    fresh[k] = True
+                    fresh[k] = n[k] > 0
+            points = pa.array([point_of(token[bounds[k] : bounds[k + 1]]) if fresh[k] else None for k in range(batch.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls.view(np.int64), mask=n == 0), points, none, none], names)
             held.append(token[fresh[doc]])
             size += len(held[-1])
             if size >= 2 * BUFFER:
@@ -89,7 +97,59 @@ def signatures(docs: DataFrame) -> DataFrame:
         if held:
             yield heavy()
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, token long, hits long")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, point binary, token long, hits long")
+
+
+def _counts(hashes: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount(((hashes >> np.uint64(16)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def point_of(hashes: np.ndarray) -> bytes:
+    """Group counts, in one, two or four bytes each as the largest needs."""
+    counts = _counts(hashes, FINE_GROUPS if len(hashes) >= FINE_FROM else GROUPS)
+    most = counts.max()
+    return counts.astype("<u1" if most < 256 else "<u2" if most < 65536 else "<u4").tobytes()
+
+
+class Points:
+    """Coarse points of all rows, fine ones of those that have them, and exact sizes."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        """rows: count vectors of GROUPS or FINE_GROUPS coordinates."""
+        self.where = np.full(len(rows), -1)
+        large = [k for k, r in enumerate(rows) if len(r) == FINE_GROUPS]
+        self.where[large] = np.arange(len(large))
+        self.fine = np.stack([rows[k] for k in large]).astype(np.int32) if large else np.zeros((0, FINE_GROUPS), np.int32)
+        self.coarse = np.zeros((len(rows), GROUPS), np.int32)
+        small = np.flatnonzero(self.where < 0)
+        if len(small):
+            self.coarse[small] = np.stack([rows[k] for k in small])
+        if large:
+            self.coarse[large] = self.fine.reshape(len(large), -1, GROUPS).sum(1)
+        self.sizes = self.coarse.sum(1)
+
+    @classmethod
+    def decode(cls, column: list[bytes]) -> Points:
+        kinds = {n * k: f"<u{k}" for n, widths in ((GROUPS, (1, 2, 4)), (FINE_GROUPS, (1, 2, 4))) for k in widths}
+        return cls([np.frombuffer(x, kinds[len(x)]) for x in column])
+
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray]) -> Points:
+        """From unpacked sets, which have lost the 16 low bits that groups don't use."""
+        return cls([_counts(s << np.uint64(16), FINE_GROUPS if len(s) >= FINE_FROM else GROUPS) for s in sets])
+
+    def overlaps(self, x: np.ndarray, other: Points, y: np.ndarray) -> np.ndarray:
+        """Summed coordinate minima of rows x here and rows y there, by fine points where both have them."""
+        out = np.minimum(self.coarse[x], other.coarse[y]).sum(1)
+        both = np.flatnonzero((self.where[x] >= 0) & (other.where[y] >= 0))
+        if len(both):
+            out[both] = np.minimum(self.fine[self.where[x[both]]], other.fine[other.where[y[both]]]).sum(1)
+        return out
+
+
+def bounded(sizes_x, sizes_y, overlaps):
+    """Whether an overlap of at most `overlaps` allows a link."""
+    return (100 + THRESHOLD) * overlaps >= THRESHOLD * (sizes_x + sizes_y)
 
 
 class TokenOrder:
@@ -271,6 +331,47 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def bound_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose summed coordinate minima allow a link, with the similarity that they allow."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (Points.decode(batch.column(k).to_pylist()) for k in (2, 3))
+                each = np.arange(batch.num_rows)
+                both, most = x.sizes + y.sizes, x.overlaps(each, y, each)
+                good = bounded(x.sizes, y.sizes, most)
+                allowed = pa.array(most / np.maximum(1, both - most))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), allowed], ["a", "b", "allowed"]).filter(pa.array(good))
+
+    point = lambda c, name: classes.select(F.col("cls").alias(c), F.col("point").alias(name))
+    return pairs.join(point("b", "y"), "b").join(point("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, allowed double")
+
+
+def best_partners(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are the most promising of a or of b: at most one for each class, so verifying them moves each set about once."""
+    ends = pairs.select("a", "b", "allowed").union(pairs.select("b", "a", "allowed"))
+    best = ends.groupBy("a").agg(F.max(F.struct("allowed", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def by_job(batches):
+    """Tables of whole jobs from batches ordered by job (the first column)."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        job = table.column(0).to_numpy()
+        if not len(job):
+            continue
+        last = int(np.flatnonzero(job != job[-1])[-1]) + 1 if job[0] != job[-1] else 0
+        if last:
+            yield table.slice(0, last)
+        rest = table.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 class CountTree:
     """R-tree over group-count points, packed bottom-up. Nodes keep their upper corner and least set size."""
 
@@ -291,7 +392,7 @@ class CountTree:
         for depth in range(len(self.levels) - 1, -1, -1):
             corner, least = self.levels[depth]
             bound = np.minimum(corner[at], point).sum(1)
-            able = (100 + THRESHOLD) * bound >= THRESHOLD * (size + least[at])
+            able = bounded(size, least[at], bound)
             at, bound = at[able], bound[able]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -299,36 +400,148 @@ class CountTree:
         return self.rows[at[np.argsort(-bound, kind="stable")]]
 
 
-def join_block(keys: np.ndarray, roots: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect different roots among members (of two sides, if both are there); not every link, but every connection."""
-    parent = {int(r): int(r) for r in roots}
+def _candidates(points: Points, rows: np.ndarray, roots: np.ndarray, side: np.ndarray):
+    """(asking row, candidate rows of other roots) of a job whose points are `rows`: between its two sides, or within its only one."""
+    two = side.min() != side.max()
+    base = np.flatnonzero(side == side.min())
+    sizes = points.sizes[rows]
+    coarse = points.coarse[rows]
+    tree = CountTree(coarse[base], sizes[base])
+    for q in np.flatnonzero(side == side.max()):
+        found = base[tree.search(coarse[q], int(sizes[q]))]
+        found = found[roots[found] != roots[q]]
+        found = found if two else found[found < q]
+        if len(found) and points.where[rows[q]] >= 0:
+            fine = points.overlaps(np.full(len(found), rows[q]), points, rows[found])
+            found = found[bounded(sizes[q], sizes[found], fine)]
+        yield int(q), found
+
+
+def tree_candidates(rows: DataFrame, n_partitions: int) -> DataFrame:
+    """Candidate pairs (a, b, dense) of all jobs (job, side, cls, root, point).
+
+    Where a job's pairs outnumber DENSE times its members, it names every member with its first one instead, marked dense:
+    the cluster they fall into is searched as a whole. Token groups repeat pairs; a task tells each about once.
+    """
 
-    def top(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
+    def run(batches):
+        told: set[tuple[int, int, bool]] = set()
+        for table in by_job(batches):
+            job, side, cls, root = (table.column(k).to_numpy() for k in range(4))
+            points = Points.decode(table.column(4).to_pylist())
+            at = np.append(np.flatnonzero(np.append(True, job[1:] != job[:-1])), len(job))
+            out = []
+            for a, b in zip(at[:-1], at[1:]):
+                pairs, dense = [], False
+                for q, found in _candidates(points, np.arange(a, b), root[a:b], side[a:b]):
+                    pairs += [(int(cls[a + q]), int(cls[a + k])) for k in found]
+                    if len(pairs) > DENSE * (b - a):
+                        first = int(cls[a:b].min())
+                        pairs, dense = [(int(c), first) for c in cls[a:b] if c != first], True
+                        break
+                for x, y in pairs:
+                    pair = (min(x, y), max(x, y), dense)
+                    if pair not in told:
+                        told.add(pair)
+                        out.append(pair)
+            if len(told) > 500_000:
+                told.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "b", "dense"])
+
+    ordered = rows.select("job", "side", "cls", "root", "point").repartition(n_partitions, "job").sortWithinPartitions("job")
+    return ordered.mapInArrow(run, "a long, b long, dense boolean")
+
+
+class _Roots:
+    """Union-find over component roots."""
+
+    def __init__(self, roots):
+        self.parent = {int(r): int(r) for r in roots}
+
+    def top(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
         return x
 
-    points = np.stack([np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
-    sizes = np.array([len(s) for s in sets])
-    two = side.min() != side.max()
-    base = np.flatnonzero(side == side.min())
-    asks = np.flatnonzero(side == side.max()) if two else base
-    tree, out = CountTree(points[base], sizes[base]), []
-    for q in asks:
-        for k in base[tree.search(points[q], int(sizes[q]))]:
-            if not two and k >= q:
-                continue
-            x, y = top(int(roots[q])), top(int(roots[k]))
+    def meet(self, x: int, y: int) -> None:
+        self.parent[max(x, y)] = min(x, y)
+
+
+def join_block(keys: np.ndarray, roots: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect different roots among members; not every link, but every connection."""
+    if not len(keys):
+        return []
+    union, out = _Roots(roots), []
+    for q, found in _candidates(Points.of_sets(sets), np.arange(len(keys)), roots, side):
+        for k in found:
+            x, y = union.top(int(roots[q])), union.top(int(roots[k]))
             if x != y and linked(sets[q], sets[k]):
-                parent[max(x, y)] = min(x, y)
+                union.meet(x, y)
                 out.append((int(keys[q]), int(keys[k])))
     return out
 
 
-def residual_links(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """R-tree links of token groups whose members lie in different components."""
-    spark = groups.sparkSession
-    placed = groups.filter("members > 2").select("token", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+def verify_in_order(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links among the pairs (a, b) that connect different roots."""
+    union, out, row = _Roots(roots), [], {int(k): n for n, k in enumerate(keys)}
+    for p, q in zip(a.tolist(), b.tolist()):
+        if p in row and q in row:
+            x, y = union.top(int(roots[row[p]])), union.top(int(roots[row[q]]))
+            if x != y and linked(sets[row[p]], sets[row[q]]):
+                union.meet(x, y)
+                out.append((p, q))
+    return out
+
+
+def cluster_links(pairs: DataFrame, roots: DataFrame, sets: DataFrame, n_partitions: int) -> DataFrame:
+    """Links among candidates (a, b, dense) that connect different roots.
+
+    Candidates are dealt by the connected cluster they form, large clusters by pairs of blocks, so a set moves once to its
+    cluster (once a block pair in a large one) and not once a pair or token. A cluster with a dense job is searched
+    by a tree over all its members; in others the pairs are verified. Either way a link inside a component is never tried.
+    """
+    clusters = components(pairs)
+    marked = pairs.select(F.col("a").alias("node"), "dense").join(clusters, "node")
+    dense = stage(marked.groupBy("root").agg(F.bool_or("dense").alias("dense")), "jaccard-dense")
+    sizes = stage(clusters.groupBy("root").agg(F.count("*").alias("members")), "jaccard-cluster-sizes")
+    n_blocks = F.ceil(F.col("members") / CLUSTER_BLOCK).cast("int")
+    placed = clusters.join(sizes, "root").join(dense, "root").select("node", F.col("root").alias("cluster"), "dense", n_blocks.alias("blocks"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("block"))
+    placed = stage(placed.join(roots, "node", "left").select("node", "cluster", "dense", "blocks", "block", F.coalesce("root", "node").alias("root")), "jaccard-clusters")
+    job = lambda x, y: F.xxhash64("cluster", F.least(x, y), F.greatest(x, y)).alias("job")
+    end = lambda c: placed.filter("not dense").select(F.col("node").alias(c), "cluster", F.col("block").alias(f"block_{c}"), F.col("root").alias(f"root_{c}"))
+    both = pairs.drop("dense").join(end("a"), "a").join(end("b").drop("cluster"), "b")
+    both = stage(both.select(job("block_a", "block_b"), "a", "b", "root_a", "root_b"), "jaccard-cluster-pairs")
+    needs = both.select("job", F.col("a").alias("cls"), F.col("root_a").alias("root")).union(both.select("job", "b", "root_b")).distinct().withColumn("side", F.lit(0))
+    other = placed.filter("dense").withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    needs = needs.union(other.select(job("block", "peer"), F.col("node").alias("cls"), "root", F.when(F.col("block") <= F.col("peer"), 0).otherwise(1)))
+    needs = stage(needs, "jaccard-needs")
+    rows = needs.join(sets, "cls").select("job", "side", "cls", "root", F.lit(None).cast("long").alias("other"), "set")
+    rows = rows.union(both.select("job", F.lit(2), "a", F.lit(None).cast("long"), "b", F.lit(None).cast("binary")))
+
+    def run(batches):
+        for table in by_job(batches):
+            job, side, cls = (table.column(k).to_numpy() for k in range(3))
+            at = np.append(np.flatnonzero(np.append(True, job[1:] != job[:-1])), len(job))
+            out = []
+            for a, b in zip(at[:-1], at[1:]):
+                m = a + int(np.searchsorted(side[a:b], 2))  # sets first, then pairs
+                root = table.column(3).slice(a, m - a).to_numpy()
+                held = [unpack_set(x.as_py()) for x in table.column(5).slice(a, m - a)]
+                if m == b:
+                    out += join_block(cls[a:m], root, side[a:m], held)
+                else:
+                    out += verify_in_order(cls[a:m], root, held, cls[m:b], table.column(4).slice(m, b - m).to_numpy())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+
+    ordered = rows.repartition(n_partitions, "job").sortWithinPartitions("job", "side", "cls", "other")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def open_jobs(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (job, side, cls, root) of the token groups whose members lie in different components, cut into block pairs."""
+    placed = groups.select("token", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     placed = stage(placed.select("token", "cls", F.coalesce("root", "cls").alias("root")), "jaccard-placed")
     open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("token", "members")
     open_ = stage(open_, "jaccard-open")
@@ -345,25 +558,15 @@ def residual_links(groups: DataFrame, roots: DataFrame, sets: DataFrame) -> Data
     jobs = blocks.join(other, "token").filter("block <= block2 and not (only is not null and only2 is not null and only = only2)")
     job = F.xxhash64("token", "block", "block2").alias("job")
     sided = jobs.select("token", "block", job, F.lit(0).alias("side")).union(jobs.filter("block <> block2").select("token", F.col("block2").alias("block"), job, F.lit(1).alias("side")))
-    rows = rest.join(stage(sided, "jaccard-jobs"), ["token", "block"]).select("job", "side", "cls", "root").join(sets, "cls")
-
-    def run(table: pa.Table) -> pa.Table:
-        keys, roots, side = (table.column(c).to_numpy() for c in ("cls", "root", "side"))
-        order = np.lexsort((keys, side))
-        packed = table.column("set").to_pylist()
-        out = join_block(keys[order], roots[order], side[order], [unpack_set(packed[k]) for k in order])
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    found = stage(rows.select("job", "side", "cls", "root", "set").groupBy("job").applyInArrow(run, "a long, b long"), "jaccard-more-links")
-    drop(placed, open_, sizes, rest, blocks)
-    del spark
-    return found
+    rows = stage(rest.join(stage(sided, "jaccard-jobs"), ["token", "block"]).select("job", "side", "cls", "root"), "jaccard-job-rows")
+    drop(placed, open_, sizes, blocks)
+    return rows
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `docs` (doc_id long, text string)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     width = partitions(spark)
     signed = stage(signatures(docs), "jaccard-signatures")
@@ -371,18 +574,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tokens = np.array([r[0] for r in heavy.select("token").toLocalIterator()], np.int64).view(np.uint64)
     order = spark.sparkContext.broadcast(TokenOrder(tokens))
     groups = stage(token_groups(prefix_entries(docs, order, 8 * width), width), "jaccard-groups")
-    classes = stage(signed.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    fits = lambda m: F.col("cls").isNotNull() & (F.col("cls") != F.col(m)) & (100 * F.least("n", f"{m}_n") >= THRESHOLD * F.greatest("n", f"{m}_n"))
+    release(spark)
+    mine = signed.filter("cls is not null and doc_id is not null")
+    classes = stage(mine.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("point", ignorenulls=True).alias("point")), "jaccard-classes")
+    fits = lambda m: (F.col("cls") != F.col(m)) & (100 * F.least("n", f"{m}_n") >= THRESHOLD * F.greatest("n", f"{m}_n"))
     pair = lambda m: groups.filter(fits(m)).select(F.least("cls", m).alias("a"), F.greatest("cls", m).alias("b"))
-    pairs = stage(pair("pivot").union(pair("prev")).distinct(), "jaccard-pairs")
-    wanted = stage(groups.select("cls").distinct().join(classes, "cls"), "jaccard-wanted")
-    sets = stage(sets_of(docs, wanted), "jaccard-sets")
-    drop(wanted)
-    links = stage(verify_pairs(pairs, sets), "jaccard-links")
+    pairs = stage(pair("pivot").union(pair("prev")).distinct(), "jaccard-star")
+    near = stage(best_partners(stage(bound_pairs(pairs, classes), "jaccard-near")), "jaccard-pairs")
+    wanted = lambda some: stage(some.distinct().join(classes.select("cls", "rep"), "cls"), "jaccard-wanted")
+    want = wanted(near.select(F.col("a").alias("cls")).union(near.select("b")))
+    sets = stage(sets_of(docs, want), "jaccard-sets")
     drop(pairs)
+    links = stage(verify_pairs(near, sets), "jaccard-links")
     first = components(links)
-    more = residual_links(groups, first, sets)
-    drop(sets, groups, links)
+    jobs = open_jobs(groups, first)
+    found = stage(tree_candidates(jobs.join(classes.select("cls", "point"), "cls"), width), "jaccard-candidates")
+    drop(jobs, groups)
+    again = found.groupBy("a", "b").agg(F.bool_or("dense").alias("dense"))
+    again = stage(again.join(near.withColumn("done", F.lit(True)), ["a", "b"], "left").filter("dense or done is null").drop("done"), "jaccard-pairs")
+    later = again.select(F.col("a").alias("cls")).union(again.select("b"))
+    missing = wanted(later.distinct().join(want.select("cls"), "cls", "left_anti"))
+    more_sets = stage(sets_of(docs, missing), "jaccard-sets")
+    drop(near, want, missing)
+    all_sets = sets.union(more_sets)
+    more = stage(cluster_links(again, first, all_sets, width), "jaccard-more-links")
+    drop(sets, more_sets, again, found, links)
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     drop(first, more)
     rooted = stage(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "jaccard-rooted")

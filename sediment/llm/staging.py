@@ -59,3 +59,10 @@ def release(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     """The shuffle width that the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most `rows` rows at once to Python workers from here on: whole texts and sets are wide, and workers hold a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

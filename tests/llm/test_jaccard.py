@@ -55,7 +55,7 @@ def corpus(seed, n_base=8, copies=9, edits=8, length=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,block,dense", [(1, 512, 32), (2, 4, 0)])
+@pytest.mark.parametrize("seed,block,dense", [(1, 512, 8), (2, 4, 0)])
 def test_components_match_brute_force(spark, monkeypatch, seed, block, dense):
     """Ordinary settings, and tiny blocks with every job dense so that block pairs and in-task joins run."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
