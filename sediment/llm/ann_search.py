@@ -4,8 +4,11 @@ Largest inner product becomes smallest distance by one extra coordinate (vectors
 the unit ball and lifted onto its sphere). Each of TABLES tables hashes a vector by a few Gaussian
 projections cut into slots. A query visits its own and perturbed buckets in the order of estimated
 success, the chance that a neighbour at the expected distance falls there, until the visited
-buckets hold SUCCESS of it. Candidates of all tables are scored exactly, in double precision on the
-original vectors, and merged.
+buckets hold SUCCESS of it. A first pass takes one distance for all queries, from a sample. The k-th
+score it finds bounds each query's own distance from above, and a second pass visits the buckets
+that are still missing at that distance, so a dense group of rows does not narrow the search of the
+others. Candidates of all tables are scored exactly, in double precision on the original vectors,
+and merged.
 
 Rows are dealt to parts by (bucket, salt); a bucket larger than a part's fair share gets more salts,
 so a hot bucket is split and its queries follow all its parts. Equal vectors are one index entry
@@ -85,10 +88,14 @@ class PStableHash:
     def buckets(self, table: int, lifted: np.ndarray) -> np.ndarray:
         return self.code(table, np.floor(lifted @ self.axes[table] / self.slot + self.shift[table]))
 
-    def probes(self, table: int, lifted: np.ndarray, success: float) -> np.ndarray:
-        """Bucket codes of one query, likeliest first, until they hold `success` of the estimate."""
+    def distance(self, query: np.ndarray, score: float) -> float:
+        """Lifted distance of an original query to a row with this inner product."""
+        return math.sqrt(max(2 - 2 * score / (float(np.linalg.norm(query)) * self.scale), 1e-12))
+
+    def probes(self, table: int, lifted: np.ndarray, success: float, near: float | None = None) -> np.ndarray:
+        """Bucket codes of one query, likeliest first, until they hold `success` of the estimate for a neighbour at distance `near`."""
         z = lifted @ self.axes[table] / self.slot + self.shift[table]
-        spread = self.reach / self.slot
+        spread = (self.reach if near is None else near) / self.slot
         reach = int(math.ceil(4 * spread)) + 1
         ladders = []  # per projection: (probability, slot), falling
         for x in z:
@@ -166,18 +173,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
             first = np.array([ids[0].as_py() for ids in batch.column(2)], np.int64) if len(codes) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(_part(codes, (first * 7919) % salts, n_parts)), *batch.columns], ["part", "bucket", "v", "ids"])
 
-    def route(everywhere: bool):
+    def route(everywhere: bool, again: bool):
         def run(batches):
             for batch in batches:
                 x = _matrix(batch.column(1))
+                worst = batch.column(2).to_pylist() if again else []
                 out = []
                 for q, lifted in enumerate(hasher.lift_query(x) if len(x) else x):
                     if everywhere:
                         out += [(p, q, b"") for p in range(n_parts)]
                         continue
                     codes = np.concatenate([hasher.probes(t, lifted, success) for t in range(tables)])
+                    if again:
+                        near = hasher.distance(x[q], worst[q])
+                        codes = np.setdiff1d(np.concatenate([hasher.probes(t, lifted, success, near) for t in range(tables)]), codes)
                     parts = [_part(codes, 0, n_parts)]
-                    split = np.array([c in hot for c in codes.tolist()])
+                    split = np.array([c in hot for c in codes.tolist()], bool)
                     for c in codes[split]:
                         parts.append(_part(np.full(hot[int(c)] - 1, c), np.arange(1, hot[int(c)]), n_parts))
                     where = np.concatenate(parts)
@@ -186,7 +197,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
                 if out:
                     p, q, b = zip(*out)
                     take = pa.array(q)
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(b, pa.binary())], ["part", "id", "v", "probes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(b, pa.binary()), pa.array([worst[k] if again else None for k in q], pa.float64())], ["part", "id", "v", "probes", "worst"])
 
         return run
 
@@ -224,20 +235,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         q, j = np.nonzero(who >= 0)
         ids = index_rows.column("ids").combine_chunks().take(pa.array(order[who[q, j]]))
         exact = np.einsum("ij,ij->i", y[q], x[who[q, j]])
-        return pa.table([query_rows.column("id").combine_chunks().take(pa.array(q)), ids, pa.array(exact)], names)
+        out = pa.table([query_rows.column("id").combine_chunks().take(pa.array(q)), ids, pa.array(exact)], names)
+        worst = query_rows.column("worst").to_numpy()[q]  # the k-th score so far: rows below it can't rank
+        return out.filter(pa.array(~(exact < worst - 1e-9 * np.abs(worst))))
 
     dealt = stage(hashed.mapInArrow(deal, "part int, bucket long, v array<double>, ids array<long>"), "ann-dealt")
 
-    def found(some: DataFrame, everywhere: bool) -> DataFrame:
-        routed = some.repartition(n_parts, "id").mapInArrow(route(everywhere), "part int, id long, v array<double>, probes binary")
+    def found(some: DataFrame, everywhere: bool = False, before: DataFrame | None = None) -> DataFrame:
+        """The best k of the rows met; with `before`, the rows of `some` have their k-th score there, and only further buckets are visited."""
+        routed = some.repartition(n_parts, "id").mapInArrow(route(everywhere, before is not None), "part int, id long, v array<double>, probes binary, worst double")
         hits = dealt.groupBy("part").cogroup(routed.groupBy("part")).applyInArrow(search, "query_id long, ids array<long>, score double")
         rows = hits.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
+        if before is not None:
+            rows = rows.union(before.select("query_id", "vec_id", "score"))
         rows = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return rows.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    out = stage(found(asks, False), "ann-found")
+    first = stage(found(asks), "ann-first")
     drop(hashed)
+    worst = first.filter(F.col("rank") == k).groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("worst"))
+    out = stage(found(asks.join(worst, "id"), before=first), "ann-found")
+    drop(first)
     total = rows.select("id").distinct().limit(k + 1).count()
     got = out.groupBy(F.col("query_id").alias("id")).count()
     short = asks.join(got, "id", "left").filter(F.coalesce("count", F.lit(0)) < min(k, max(0, total - 1))).select("id", "v")

@@ -149,6 +149,30 @@ def test_neighbours(spark):
     assert nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def recall(spark, x, asked, k=20):
+    """Share of the true k nearest rows that `nearest` finds, by query."""
+    vectors = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest(vectors, vectors.filter(F.col("vec_id").isin(asked)), k).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    out = []
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        out.append(len(found[q] & set(np.argsort(-s)[:k].tolist())) / k)
+    return np.array(out)
+
+
+def test_neighbours_beside_a_cluster_of_near_copies(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((60, 32))[rng.integers(0, 60, 6000)] + 0.6 * rng.standard_normal((6000, 32))
+    x[:2000] = x[0] + 0.02 * rng.standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = list(range(0, 6000, 50))
+    got = recall(spark, x, asked)
+    assert got[:40].mean() >= 0.9 and got[40:].mean() >= 0.9
+
+
 def test_line_field_marginals_against_enumeration():
     rng = np.random.default_rng(1)
     field = LineField(3)
