@@ -148,7 +148,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     asks = stage(usable(queries, key, vector).distinct(), "ann-queries")
     each = Window.partitionBy("v").orderBy("id")
     few = rows.distinct().withColumn("r", F.row_number().over(each)).filter(F.col("r") <= k + 1)
-    entries = stage(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-entries")
+    merged = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    entries = stage(merged.withColumn("entry", F.monotonically_increasing_id()), "ann-entries")  # a number of its own, fixed by the writing
     n, scale = entries.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -160,9 +161,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         for batch in batches:
             lifted = hasher.lift(_matrix(batch.column(0)))
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(hasher.buckets(t, lifted)), *batch.columns], ["bucket", "v", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(hasher.buckets(t, lifted)), *batch.columns], ["bucket", "v", "ids", "entry"])
 
-    hashed = stage(entries.mapInArrow(index, "bucket long, v array<double>, ids array<long>"), "ann-index")
+    hashed = stage(entries.mapInArrow(index, "bucket long, v array<double>, ids array<long>, entry long"), "ann-index")
     fair = max(1, n * tables // n_parts)
     hot = {r.bucket: -(-r["count"] // fair) for r in hashed.groupBy("bucket").count().filter(F.col("count") > fair).collect()}  # fewer than n_parts buckets can be this large
 
@@ -171,7 +172,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
             codes = batch.column(0).to_numpy()
             salts = np.array([hot.get(c, 1) for c in codes.tolist()], np.int64)
             first = np.array([ids[0].as_py() for ids in batch.column(2)], np.int64) if len(codes) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_part(codes, (first * 7919) % salts, n_parts)), *batch.columns], ["part", "bucket", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(_part(codes, (first * 7919) % salts, n_parts)), *batch.columns], ["part", "bucket", "v", "ids", "entry"])
 
     def route(everywhere: bool, again: bool):
         def run(batches):
@@ -201,7 +202,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
 
         return run
 
-    keep = k + 2
+    keep = k + 2  # different entries a part
+    room = tables * keep  # rows that surely hold them: an entry is met at most once a table
 
     def search(index_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         names = ["query_id", "ids", "score"]
@@ -222,24 +224,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
                 at = range(len(present))
             for b in at:
                 visits[b].append(q)
-        best = np.full((len(y), keep), -np.inf)
-        who = np.full((len(y), keep), -1, np.int64)
+        best = np.full((len(y), room), -np.inf)
+        who = np.full((len(y), room), -1, np.int64)
         for b, qs in enumerate(visits):
             for low in range(0, len(qs), 512):
                 some = np.array(qs[low : low + 512])
                 score = y[some] @ x[bounds[b] : bounds[b + 1]].T
                 both = np.concatenate([best[some], score], 1)
                 ids = np.concatenate([who[some], np.broadcast_to(np.arange(bounds[b], bounds[b + 1]), score.shape)], 1)
-                top = np.argpartition(-both, keep - 1, axis=1)[:, :keep] if both.shape[1] > keep else np.broadcast_to(np.arange(both.shape[1]), both.shape)
+                top = np.argpartition(-both, room - 1, axis=1)[:, :room] if both.shape[1] > room else np.broadcast_to(np.arange(both.shape[1]), both.shape)
                 best[some], who[some] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
         q, j = np.nonzero(who >= 0)
+        entry = index_rows.column("entry").to_numpy()[order[who[q, j]]]
+        by = np.lexsort((entry, q))
+        fresh = np.append(True, (q[by][1:] != q[by][:-1]) | (entry[by][1:] != entry[by][:-1]))[: len(by)]
+        q, j = q[by[fresh]], j[by[fresh]]
+        by = np.lexsort((-best[q, j], q))
+        q, j = q[by], j[by]
+        near = np.arange(len(q)) - np.searchsorted(q, q) < keep
+        q, j = q[near], j[near]
         ids = index_rows.column("ids").combine_chunks().take(pa.array(order[who[q, j]]))
         exact = np.einsum("ij,ij->i", y[q], x[who[q, j]])
         out = pa.table([query_rows.column("id").combine_chunks().take(pa.array(q)), ids, pa.array(exact)], names)
         worst = query_rows.column("worst").to_numpy()[q]  # the k-th score so far: rows below it can't rank
         return out.filter(pa.array(~(exact < worst - 1e-9 * np.abs(worst))))
 
-    dealt = stage(hashed.mapInArrow(deal, "part int, bucket long, v array<double>, ids array<long>"), "ann-dealt")
+    dealt = stage(hashed.mapInArrow(deal, "part int, bucket long, v array<double>, ids array<long>, entry long"), "ann-dealt")
 
     def found(some: DataFrame, everywhere: bool = False, before: DataFrame | None = None) -> DataFrame:
         """The best k of the rows met; with `before`, the rows of `some` have their k-th score there, and only further buckets are visited."""

@@ -173,6 +173,17 @@ def test_neighbours_beside_a_cluster_of_near_copies(spark):
     assert got[:40].mean() >= 0.9 and got[40:].mean() >= 0.9
 
 
+def test_neighbours_in_one_part(spark):
+    x = np.random.default_rng(13).standard_normal((1500, 12))
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = recall(spark, x, list(range(0, 1500, 50)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert got.mean() >= 0.9
+
+
 def test_line_field_marginals_against_enumeration():
     rng = np.random.default_rng(1)
     field = LineField(3)
