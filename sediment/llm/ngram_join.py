@@ -65,7 +65,7 @@ def _class_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, cls, point) for documents; rows (token, hits) for tokens frequent inside a task. A class has its point once a task."""
+    """Rows (doc_id, n, cls, point) for documents; rows (token, hits) for tokens frequent inside a task. A class has its point once a task, on its first row with an id."""
     names = ["doc_id", "n", "cls", "point", "token", "hits"]
 
     def run(batches):
@@ -83,8 +83,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             n, cls = np.diff(bounds), _class_keys(token, bounds)
             none = pa.nulls(batch.num_rows, pa.int64())
             fresh = np.zeros(batch.num_rows, bool)
+            named = batch.column(0).is_valid().to_pylist()
             for k, c in enumerate(cls.tolist()):
-                if c not in seen:
+                if named[k] and c not in seen:
                     seen.add(c)
                     fresh[k] = n[k] > 0
             points = pa.array([point_of(token[bounds[k] : bounds[k + 1]]) if fresh[k] else None for k in range(batch.num_rows)], pa.binary())

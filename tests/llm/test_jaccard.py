@@ -71,3 +71,10 @@ def test_edges(spark):
     assert (None, 1, None) in got
     assert [r for r in got if r[0] is not None] == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 2, 7), (7, 2, 7), (8, 1, 8), (9, 2, 9)], key=str)
     assert run(spark, [])== []
+
+
+def test_null_id_before_the_same_text(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(None, text), (1, text), (2, text + " more")], "doc_id long, text string").coalesce(1)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()), key=str)
+    assert got == [(1, 36, 1), (2, 37, 1), (None, 36, None)]
