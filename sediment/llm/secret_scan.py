@@ -1,8 +1,10 @@
 """Secret scans: pattern spans, and credential-context values judged by a password guess-cost dynamic program.
 
 Base kinds (assign, access, hex) are plain patterns. The method adds kind `guess`: in credential
-contexts that the base patterns miss ("passphrase is ...", "pwd -> ..."), a value counts when the
-cheapest way to guess it costs at least `min_bits`. The cost is a minimum-cost segmentation of the
+contexts that the base patterns miss ("passphrase is ...", "pwd -> ...", "DB_PWD=..."), a value counts
+when the cheapest way to guess it costs at least `min_bits`. A value that a base span covers in part,
+up to its first symbol, is judged as a whole; only one it covers wholly is left to it. A quoted value
+ends at its quote. The cost is a minimum-cost segmentation of the
 value into dictionary words, dates, repeats, keyboard walks and brute-force spans, found left to
 right by dynamic programming in time linear in the value's length.
 
@@ -13,6 +15,7 @@ Positions are code points, end exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_ -]?key|private[_ -]?key)["']?\x20{0,4}(?:is|was|->|=>|:=|[:=])\x20{0,4}["'`]?([!-~]{6,})""", re.I | re.A)
+CONTEXT = re.compile(r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_ -]?key|private[_ -]?key)(?:[_-][A-Za-z0-9_-]{0,64})?["']?\x20{0,4}(?:is|was|->|=>|:=|[:=])\x20{0,4}(["'`]?)([!-~]{6,})""", re.I | re.A)
+VALUE = re.compile(r"[!-~]+")
 KEYWORDS = ("pass", "pwd", "secret", "token", "credential", "key")
 KINDS = ("assign", "access", "hex", "guess")
 MIN_BITS = 36.0
@@ -111,15 +115,28 @@ def find_spans(text: str, min_bits: float = MIN_BITS) -> list[tuple[int, int, in
     found = []
     low = text.lower()
     if any(k in low for k in KEYWORDS):
-        held = []
+        held, values = [], {}
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= 6:
-                held.append((m.start(2), m.end(2)))
+                held.append((m.start(), m.end()))
                 found.append((m.start(), 0, m.end(), guess_bits(m[2])))
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip("\"'`.,;:!?)")
-            a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(a < y and x < b for x, y in held) and (bits := guess_bits(value)) >= min_bits:
+            quote = text[m.start(2) - 1]
+            values[m.start(2)] = quote if quote in "\"'" else ""
+        values.update((m.start(2), m[1]) for m in CONTEXT.finditer(text))
+        starts, upto = [x for x, _ in held], 0
+        for a in sorted(values):
+            if a < upto:  # within a value that was judged
+                continue
+            value = VALUE.match(text, a)[0]
+            if values[a]:
+                value = re.split(rf"(?<!\\){values[a]}", value, maxsplit=1)[0]
+            upto = a + len(value)
+            value = value.rstrip("\"'`.,;:!?)")
+            b = a + len(value)
+            k = bisect.bisect_right(starts, a) - 1
+            if len(value) >= 6 and not (k >= 0 and b <= held[k][1]) and (bits := guess_bits(value)) >= min_bits:
+                if text[a:upto].endswith(("!", "?")) and k >= 0 and held[k][1] > a:
+                    b = upto  # the rest of an assigned password, not the end of a sentence
                 found.append((a, 3, b, bits))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), guess_bits(m[0][4:])) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]

@@ -62,6 +62,18 @@ def test_secret_spans():
     assert [k for _, k, _, _ in found] == [3]
 
 
+@pytest.mark.parametrize("head", ["password=", "userPassword=", "DB_PWD=", "secret_key=", "AWS_SECRET_ACCESS_KEY=", "my_passphrase: "])
+def test_secret_tails_and_identifiers(head):
+    clean = redact_text(f"a {head}Tr0ub4dor&3xQz91! b")
+    assert "Tr0ub4dor" not in clean and "3xQz91" not in clean and clean.startswith("a ") and clean.endswith(" b")
+
+
+def test_quoted_secrets_end_at_their_quote():
+    assert redact_text('{"password":"Tr0ub4dor&3xQz91","user":"bob"}') == '{"[SECRET]","user":"bob"}'
+    assert redact_text('{"password":"hunter22","user":"bob"}') == '{"[SECRET]","user":"bob"}'
+    assert redact_text("the compass is northeastward") == "the compass is northeastward"
+
+
 def test_guess_cost_is_a_minimum():
     assert guess_bits("") == 0
     assert guess_bits("password") < 12 < guess_bits("pqsswzrd")
