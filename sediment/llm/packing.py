@@ -13,6 +13,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,16 +27,101 @@ from sediment.llm.staging import stage
 
 CACHE_CHUNKS = 1_200_000  # distinct text chunks whose ids a worker keeps; the cache starts anew beyond it
 GROUP_PIECES = 20_000  # pieces packed together: a group wastes at most about one bin in several thousand
+_MARKS = ".,;:!?&%$#*|()[]{}/+=-_\""  # that may follow a word within a chunk and never join its letters
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class WordMerger:
+    """Byte-pair merges of many words at once, for tokenizers whose words are letters with an end mark.
+
+    Each round merges, in every word that still has one, the leftmost pair of the lowest rank; that is
+    what the tokenizer does word by word. `words` takes lower-case words of letters below U+0130, which
+    normalisation leaves as they are and pre-tokenisation leaves whole.
+    """
+
+    def __init__(self, spec: dict):
+        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a vocabulary; others follow from U+0100 on
+        sign = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(visible))}
+        self.inner = np.array([vocab[sign[b]] for b in range(256)], np.int64)
+        self.final = np.array([vocab[sign[b] + suffix] for b in range(256)], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.none = len(pairs)
+
+    @classmethod
+    def of(cls, spec: dict) -> WordMerger | None:
+        """None for a tokenizer of another kind."""
+        model, text = spec["model"], json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
+        plain = not model.get("dropout") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix") and model.get("end_of_word_suffix")
+        return cls(spec) if model.get("type") == "BPE" and plain and "Lowercase" in text and "ByteLevel" in text and "|[\\\\p{L}]+|" in text else None
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], self.none)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Token ids of each word, little-endian uint32."""
+        raw = [w.encode() for w in words]
+        size = np.array([len(r) for r in raw])
+        out: list[bytes] = [b""] * len(raw)
+        for n in np.unique(size).tolist():
+            rows = np.flatnonzero(size == n)
+            for k in range(0, len(rows), max(1, 2_000_000 // n)):
+                some = rows[k : k + max(1, 2_000_000 // n)]
+                data = np.frombuffer(b"".join(raw[i] for i in some.tolist()), np.uint8).reshape(-1, n)
+                ids = self.inner[data]
+                ids[:, -1] = self.final[data[:, -1]]
+                self._merge(ids)
+                length = (ids >= 0).sum(1)
+                flat, stop = ids[ids >= 0].astype("<u4").tobytes(), (4 * np.cumsum(length)).tolist()
+                for i, a, b in zip(some.tolist(), [0, *stop], stop):
+                    out[i] = flat[a:b]
+        return out
+
+    def _merge(self, ids: np.ndarray) -> None:
+        """In place; what a merge frees at a row's end becomes -1."""
+        n = ids.shape[1]
+        if n < 2:
+            return
+        rank = np.full(ids.shape, self.none)  # of the pair that begins here
+        rank[:, :-1] = self._rank(ids[:, :-1], ids[:, 1:])
+        live = np.arange(len(ids))
+        place = np.arange(n)
+        while True:
+            best = rank.argmin(1)
+            low = rank[np.arange(len(rank)), best]
+            on = low < self.none
+            if not on.all():
+                live, rank, best, low = live[on], rank[on], best[on], low[on]
+            if not len(live):
+                return
+            each = np.arange(len(live))
+            take = place + (place > best[:, None])
+            take[take == n] = n - 1
+            mine = ids[live[:, None], take]
+            mine[:, -1] = -1
+            mine[each, best] = self.made[low]
+            rank = rank[each[:, None], take]
+            rank[:, -1] = self.none
+            after = mine[each, np.minimum(best + 1, n - 1)]
+            rank[each, best] = np.where(best + 1 < n, self._rank(mine[each, best], after), self.none)
+            inner = np.flatnonzero(best > 0)
+            rank[inner, best[inner] - 1] = self._rank(mine[inner, best[inner] - 1], mine[inner, best[inner]])
+            ids[live] = mine
+
+
 class ChunkEncoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
-    space-separated chunks in order; frequent chunks come from a cache, the rest from batch calls.
-    A chunk of Latin letters and one final stop or comma is the lower-cased word and the mark: the
-    tokenizer lower-cases and splits letters from marks, so case and mark variants share one call.
+    space-separated chunks in order; frequent chunks come from a cache. A chunk of Latin letters and
+    a tail of marks is the lower-cased word and the tail: the tokenizer lower-cases and splits letters from marks, so
+    case and tail variants share one word. New words are merged together, other new chunks go to the tokenizer.
     """
 
     def __init__(self, path: str | None, name: str):
@@ -49,6 +135,8 @@ class ChunkEncoder:
 
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.merger = WordMerger.of(json.load(f))
         self.known: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
@@ -63,16 +151,24 @@ class ChunkEncoder:
             self.known = {}
         known = self.known
         new = set().union(*parts).difference(known)
-        plain, variants = [], []
-        for chunk in new:
-            mark = chunk[-1:] if chunk[-1:] in (".", ",") else ""
-            word = chunk[: len(chunk) - len(mark)]
-            stem = word.lower()
-            if stem != chunk and word.isalpha() and max(word) < "\u0130":
-                variants.append((chunk, stem, mark))
-            else:
-                plain.append(chunk)
-        self._learn([*plain, *{x for _, stem, mark in variants for x in (stem, mark) if x and x not in known}.difference(plain)])
+        plain, variants = set(), []
+        if self.merger is None:
+            plain = new
+        else:
+            words = set()
+            for chunk in new:
+                word = chunk if chunk.isalpha() else chunk.rstrip(_MARKS)
+                if word.isalpha() and len(word) <= 64 and max(word) < "\u0130":
+                    stem = word.lower()
+                    words.add(stem)
+                    if stem != chunk:
+                        variants.append((chunk, stem, chunk[len(word) :]))
+                else:
+                    plain.add(chunk)
+            plain.update(mark for _, _, mark in variants if mark)
+            words = sorted(words.difference(known))
+            known.update(zip(words, self.merger.words(words)))
+        self._learn(sorted(plain.difference(known)))
         for chunk, stem, mark in variants:
             known[chunk] = known[stem] + known[mark] if mark else known[stem]
         out = [b"".join(map(known.__getitem__, p)) for p in parts]
@@ -166,31 +262,27 @@ def best_fit(lengths: np.ndarray, max_tokens: int, max_docs: int, max_cost: floa
     return bins, offsets
 
 
-def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, max_docs: int = 4096, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "norm") -> DataFrame:
+def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, max_docs: int = 4096, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.3, 0.3), rule: str = "norm") -> DataFrame:
     """`pieces` with sequence_id and offset.
 
-    Pieces are dealt by hash to groups of about GROUP_PIECES and packed group by group; only key and
-    length columns move. `max_cost` bounds the sum of squared piece lengths of a sequence.
+    Pieces are dealt in turn, by a row number that the staged table fixes, to groups of about GROUP_PIECES, and each group is
+    packed alone: equal or null ids spread like others. Only key and length columns move. `max_cost` bounds the sum of squared
+    piece lengths of a sequence.
     """
     cost = float(max_tokens) ** 2 if max_cost is None else float(max_cost)
-    staged = stage(pieces, "pieces")
+    columns = pieces.columns
+    staged = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-staged.count() // GROUP_PIECES))
-    dealt = staged.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
-    columns = staged.columns
+    dealt = staged.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
 
-    def run(batches):
-        got = list(batches)
-        table = pa.Table.from_batches(got) if got else None
-        if table is None or not table.num_rows:
-            return
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        base = int(np.min(table.column("_group").to_numpy())) << 32
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("_row", "ascending")])
+        base = table.column("_group")[0].as_py() << 32
         bins, offsets = best_fit(table.column("length").to_numpy(), max_tokens, max_docs, cost, weights, rule)
-        out = table.select(columns).append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
-        yield from out.to_batches()
+        return table.select(columns).append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
 
-    schema = StructType([*staged.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return dealt.repartition(groups, "_group").mapInArrow(run, schema)
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return dealt.groupBy("_group").applyInArrow(pack, schema)
 
 
 def fill_sequences(pieces_with_ids: DataFrame, placed: DataFrame) -> DataFrame:

@@ -118,6 +118,32 @@ def test_packing_keeps_every_limit():
             assert sorted(offsets[bins == b]) == list(np.cumsum(np.append(0, mine[np.argsort(offsets[bins == b])]))[:-1])
 
 
+def test_packing_weighs_every_residual():
+    """The query's weights choose other bins than tokens alone would, under the query's own capacities too; and each capacity binds."""
+    sizes = np.sort(np.random.default_rng(7).integers(1, 3000, 600))[::-1]
+    tokens_only, _ = best_fit(sizes, 4096, 4096, 4096.0**2, (1.0, 0.0, 0.0), "norm")
+    weighed, _ = best_fit(sizes, 4096, 4096, 4096.0**2, (1.0, 0.3, 0.3), "norm")
+    assert tokens_only.tolist() != weighed.tolist() and abs(int(tokens_only.max()) - int(weighed.max())) <= 1
+    narrow, _ = best_fit(np.full(6, 10), 100, 2, 1e4, (1.0, 0.1, 0.1), "norm")
+    assert np.bincount(narrow).tolist() == [2, 2, 2]
+    dear, _ = best_fit(np.array([50, 40, 10]), 100, 9, 3000.0, (1.0, 0.1, 0.1), "norm")
+    assert dear[0] != dear[1] and len(set(dear)) == 2
+
+
+def test_ids_are_the_tokenizers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sediment.llm.packing import encoder_of
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["a.b,c--d's it's 'll I'LL", "Ünïcödé İstanbul ŉa ǆ ß ſ ﬁ", "e\u0301 é<|endoftext|>x <|end", "x&&&'s x&&& x&&&'", "a_b __ 12ab3 ab12", "naïve x\u00a0y\u3000z\x0b\x0c\x1c\x85q", "ªº µ ﬀ", "日本語 한국어", "", " \n", "z" * 300 + ".", "Ha-Ha ha! HA? (ha) [ha] 'tis"]
+    real = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = encoder_of(None, "word_bpe_49k.json").encode([*odd, *real])
+    for text, ids in zip([*odd, *real], got):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
