@@ -56,22 +56,23 @@ def previous_keys(live: DataFrame) -> DataFrame:
     return step.union(live.agg(F.lit(None).cast(live.schema["key"].dataType).alias("key"), F.max("key").alias("prev_key")))
 
 
+def _merged(live: DataFrame, bounds: DataFrame, ties: tuple[int, int]) -> DataFrame:
+    """Keys and distinct bounds in one table (at: value and tie, key: null for a bound); ties put equal bounds before or after a key."""
+    kind = live.schema["key"].dataType
+    asked = bounds.select(F.struct(F.col("bound").cast(kind).alias("value"), F.lit(ties[0]).alias("tie")).alias("at")).distinct()
+    return live.select(F.struct(F.col("key").alias("value"), F.lit(ties[1]).alias("tie")).alias("at"), "key").union(asked.withColumn("key", F.lit(None).cast(kind)))
+
+
 def bulk_seek(live: DataFrame, bounds: DataFrame) -> DataFrame:
     """For each `bound`, found_key: the first live key at or after it, or null. Bounds and keys are merged in order, with no theta join."""
-    asked = bounds.select("bound").distinct()
-    here = asked.join(live.select(F.col("key").alias("bound")), "bound", "left_semi").select("bound", F.col("bound").alias("found_key"))
-    rest = asked.join(here, "bound", "left_anti").select(F.col("bound").alias("at"), F.lit(None).cast(live.schema["key"].dataType).alias("key"))
-    merged = neighbour(live.select(F.col("key").alias("at"), "key").union(rest), "at", F.col("key"), True, "found_key")
-    return here.union(merged.filter(F.col("key").isNull()).select(F.col("at").alias("bound"), "found_key"))
+    found = neighbour(_merged(live, bounds, (0, 1)), "at", F.col("key"), True, "found_key")
+    return found.filter(F.col("key").isNull()).select(F.col("at.value").alias("bound"), "found_key")
 
 
 def bulk_seek_before(live: DataFrame, bounds: DataFrame) -> DataFrame:
     """For each `bound`, found_key: the last live key strictly before it, or null."""
-    kind = live.schema["key"].dataType
-    asked = bounds.select(F.col("bound").alias("at")).distinct().withColumn("key", F.lit(None).cast(kind)).withColumn("tie", F.lit(0))
-    merged = live.select(F.col("key").alias("at"), "key").withColumn("tie", F.lit(1)).union(asked).withColumn("at", F.struct("at", "tie"))
-    found = neighbour(merged.select("at", "key"), "at", F.col("key"), False, "found_key")
-    return found.filter(F.col("key").isNull()).select(F.col("at.at").alias("bound"), "found_key")
+    found = neighbour(_merged(live, bounds, (0, 1)), "at", F.col("key"), False, "found_key")
+    return found.filter(F.col("key").isNull()).select(F.col("at.value").alias("bound"), "found_key")
 
 
 class Cursor:
