@@ -9,18 +9,20 @@ sizes demand", and survivors are verified on their whole sets.
 How it runs without all pairs:
 
 1. Equal sets are one class; everything after works on classes.
-2. Linked sets share one of their first n - ceil(0.75 n) + 1 tokens in any one global order. Here
-   rarer tokens come first: those that repeat inside tasks are counted, and the most frequent go
-   last, so a passage that thousands share is not what documents meet on. The order changes cost,
-   never results.
-3. Classes that share a prefix token form a token group. Each member is bounded against the group's
-   pivot and its neighbour in size, a number of pairs in proportion to the group, and each class's
-   most promising pair is verified.
-4. Only groups whose members are still in different components go to the R-trees: groups are cut
-   into blocks, block pairs inside one component are skipped, and each remaining block pair is one
-   bounded job whose tree gives the candidate pairs of different components. Pairs are verified in
-   the clusters they form, joining components as they go, so a link inside a component is never
-   tried; a cluster with very many candidates is searched again by a tree, with whole sets at hand.
+2. Linked sets of sizes x and y share at least s of their first n - ceil(0.75 n) + s tokens, for any s, in any one global
+   order. With s about WITNESS percent of the set, a class stays in play only if so many of those tokens are also held by a class of
+   a size that it could link with; strangers that share a few phrases leave here, before any point or set moves. With s = 1 the
+   same rule gives the prefix of which linked classes share a token. Rarer tokens come first in the order: those that repeat
+   inside tasks are counted, and the most frequent go last, so a passage that thousands share is not what documents meet on.
+   The order changes cost, never results.
+3. Classes in play that share a prefix token form a group, cut where sizes leave a gap that no link crosses; tokens with the
+   same members are one group, and groups with the same two least classes are united. Each member is bounded against the group's
+   pivot and its neighbour in size, a number of pairs in proportion to the group, and each class's most promising pairs are verified.
+4. Only groups whose members are still in different components go to the R-trees: groups are cut into blocks, block pairs
+   inside one component are skipped, and each remaining block pair is one bounded job. Its tree gives the candidate pairs of
+   different components, and the job tells a spanning forest of them, at most an edge a member. The clusters that
+   all forests form hold every candidate pair; each is searched once more by a tree, with whole sets at hand, in blocks where
+   it is large, joining components as it goes, so a link inside a component is never tried.
 
 Nulls and edges: a null or empty text (or one of white space) has an empty set and links with
 nothing, its own kind included; rows with a null doc_id have no component (null) but their count;
@@ -32,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.llm import wordhash
@@ -45,7 +47,8 @@ FINE_FROM = 1024
 LEAF = 16  # points of a leaf and children of a node
 BLOCK = 512  # members of a token group's block
 CLUSTER_BLOCK = 1024  # members of a candidate cluster's block
-DENSE = 8  # candidate pairs a member from which a job names its members and not its pairs
+PARTNERS = 2  # most promising pairs of a class that are verified before the search
+WITNESS = 8  # percent of a set that a linked set must hold of its extended prefix
 HEAVY_LOCAL = 8  # occurrences inside a task that make a token worth counting
 HEAVY_MAX = 1 << 17  # most frequent tokens that go last in the order: 2 MB, broadcast
 BUFFER = 2_000_000  # prefix entries a task holds before it writes them out
@@ -172,8 +175,8 @@ class TokenOrder:
             out[at[hit]] = self.ranks[k[hit]]
         return out
 
-    def prefixes(self, doc: np.ndarray, token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Which tokens (ordered by document and hash) are in their document's prefix."""
+    def places(self, doc: np.ndarray, token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Each token's place (tokens come ordered by document and hash) in its document's order."""
         rank = self.rank(token)
         listed = np.zeros(len(bounds) - 1, bool)
         listed[doc[rank > 0]] = True
@@ -181,12 +184,16 @@ class TokenOrder:
         mixed = np.flatnonzero(listed[doc])
         order = mixed[np.argsort((doc[mixed] << 20) | rank[mixed], kind="stable")]
         place[order] = place[mixed]
-        n = np.diff(bounds)
-        return place < (n + (-THRESHOLD * n) // 100 + 1)[doc]
+        return place
+
+
+def witnesses(n):
+    """How many tokens of the extended prefixes two linked sets share at least, by the size of the smaller one."""
+    return 1 + n * WITNESS // 100
 
 
 def prefix_entries(docs: DataFrame, order, n_ranges: int) -> DataFrame:
-    """Prefix tokens of each class as packed (token, class, size) arrays, by range of token."""
+    """Extended prefix tokens of each class as packed (token, class, 2 * size + 1 if in the plain prefix) arrays, by range of token."""
     names = ["range", "token", "cls", "size"]
 
     def run(batches):
@@ -210,8 +217,9 @@ def prefix_entries(docs: DataFrame, order, n_ranges: int) -> DataFrame:
                 if n[k] and c not in seen:
                     seen.add(c)
                     fresh[k] = True
-            take = order.value.prefixes(doc, token, bounds) & fresh[doc]
-            held.append((token[take], cls[doc[take]], n[doc[take]].astype(np.uint32)))
+            place, spare = order.value.places(doc, token, bounds), (n + (-THRESHOLD * n) // 100)[doc]
+            take = (place < spare + witnesses(n)[doc]) & fresh[doc]
+            held.append((token[take], cls[doc[take]], (2 * n[doc[take]] + (place <= spare)[take]).astype(np.uint32)))
             size += int(take.sum())
             if size >= BUFFER:
                 yield flush()
@@ -222,44 +230,52 @@ def prefix_entries(docs: DataFrame, order, n_ranges: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "range int, token binary, cls binary, size binary")
 
 
+def _runs(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a row of (key, size), ordered so, begins a run of one key in which each size could link with the one before."""
+    return np.append(True, (key[1:] != key[:-1]) | (100 * n[:-1] < THRESHOLD * n[1:]))[: len(key)]
+
+
+def _grouped(key: np.ndarray, cls: np.ndarray, n: np.ndarray):
+    """Rows ordered by (key, size, class) and distinct, to runs of two or more with a key that names the member set; of equal sets one stays: (key, cls, n, first row of each run)."""
+    begin = _runs(key, n)
+    first = np.flatnonzero(begin)
+    if not len(first):
+        return cls[:0], cls[:0], n[:0], first
+    count = np.diff(np.append(first, len(key)))
+    with np.errstate(over="ignore"):
+        name = wordhash.mix(np.add.reduceat(wordhash.mix(cls.view(np.uint64)), first) + count.astype(np.uint64)).view(np.int64)
+    good = np.zeros(len(first), bool)
+    good[np.unique(name, return_index=True)[1]] = True
+    good &= count > 1
+    row, count = np.repeat(good, count), count[good]
+    return np.repeat(name[good], count), cls[row], n[row], np.cumsum(count) - count
+
+
 def token_groups(entries: DataFrame, n_partitions: int) -> DataFrame:
-    """(token, cls, n, pivot, pivot_n, prev, prev_n, members) of tokens that two or more classes share; of equal member sets of a partition one stays."""
-    names = ["token", "cls", "n", "pivot", "pivot_n", "prev", "prev_n", "members"]
+    """Rows (grp, cls, n) of plain-prefix tokens that two or more classes share, and rows (cls, n, hits): shared tokens of an extended prefix."""
+    names = ["grp", "cls", "n", "hits"]
 
     def one_range(parts):
-        token, cls, n = (np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in enumerate((np.uint64, np.uint64, np.uint32)))
+        token, cls, size = (np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in enumerate((np.uint64, np.int64, np.uint32)))
         order = np.argsort(token)
         token = token[order]
         again = np.append(token[1:] == token[:-1], False)
         keep = again | np.append(False, again[:-1])
         order, token = order[keep], token[keep]
-        cls, n = cls[order], n[order].astype(np.int64)
+        cls, plain, n = cls[order], size[order] & 1, (size[order] >> 1).astype(np.int64)
         order = np.lexsort((cls, n, token))
-        token, cls, n = token[order], cls[order], n[order]
+        token, cls, plain, n = token[order], cls[order], plain[order], n[order]
         keep = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))[: len(token)]
-        token, cls, n = token[keep], cls[keep], n[keep]
-        if not len(token):
-            return None
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        count = np.diff(np.append(first, len(token)))
-        with np.errstate(over="ignore"):
-            same = np.add.reduceat(wordhash.mix(cls), first)
-        _, chosen = np.unique(same, return_index=True)
-        good = np.zeros(len(first), bool)
-        good[chosen] = True
-        good &= count > 1
-        row = np.repeat(good, count)
-        count, group = count[good], np.repeat(np.arange(good.sum()), count[good])
-        token, cls, n = token[row], cls[row].view(np.int64), n[row]
-        if not len(token):
-            return None
-        first = np.cumsum(count) - count
-        low = np.minimum.reduceat(cls, first)[group]
-        at = np.flatnonzero(cls == low)[group]
-        before = np.arange(len(cls)) - 1
-        before[first] = at[first]
-        out = [token.view(np.int64), cls, n, cls[at], n[at], cls[before], n[before], count[group].astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+        token, cls, plain, n = token[keep], cls[keep], plain[keep] == 1, n[keep]
+        begin = _runs(token, n)
+        hit = ~(begin & np.append(begin[1:], True)) if len(begin) else begin
+        which, at, hits = np.unique(cls[hit], return_index=True, return_counts=True)
+        sizes = n[hit][at]
+        grp, cls, n, _ = _grouped(token[plain & hit], cls[plain & hit], n[plain & hit])
+        none = lambda k: pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([none(len(which)), pa.array(which), pa.array(sizes), pa.array(hits)], names)
+        for k in range(0, len(grp), 20_000):
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[k : k + 20_000]) for x in (grp, cls, n)], none(len(grp[k : k + 20_000]))], names)
 
     def run(batches):
         by_range: dict[int, list] = {}
@@ -267,12 +283,56 @@ def token_groups(entries: DataFrame, n_partitions: int) -> DataFrame:
             for r, *arrays in zip(*(c.to_pylist() for c in batch.columns)):
                 by_range.setdefault(r, []).append(arrays)
         for r in sorted(by_range):
-            out = one_range(by_range.pop(r))
-            if out is not None:
-                for k in range(0, out.num_rows, 20_000):
-                    yield out.slice(k, 20_000)
+            yield from one_range(by_range.pop(r))
+
+    return entries.repartition(n_partitions, "range").mapInArrow(run, "grp long, cls long, n long, hits long")
+
+
+def _families(grp: np.ndarray, cls: np.ndarray, n: np.ndarray):
+    """Groups (ordered by key) renamed by their two least classes and those of one name united: (name, cls, n), ordered by (name, size, class) and distinct.
+
+    Near copies share tens of prefix tokens with slightly different holders each time; what belongs together is searched once.
+    """
+    first = np.flatnonzero(np.append(True, grp[1:] != grp[:-1]))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(grp))))
+    least = np.minimum.reduceat(cls, first)
+    second = np.minimum.reduceat(np.where(cls == least[group], np.iinfo(np.int64).max, cls), first)
+    with np.errstate(over="ignore"):
+        name = wordhash.mix(wordhash.mix(least.view(np.uint64)) + second.view(np.uint64)).view(np.int64)[group]
+    order = np.lexsort((cls, n, name))
+    name, cls, n = name[order], cls[order], n[order]
+    keep = np.append(True, (name[1:] != name[:-1]) | (cls[1:] != cls[:-1]))
+    return name[keep], cls[keep], n[keep]
 
-    return entries.repartition(n_partitions, "range").mapInArrow(run, "token long, cls long, n long, pivot long, pivot_n long, prev long, prev_n long, members long")
+
+def groups_in_play(found: DataFrame, able: DataFrame, n_partitions: int) -> DataFrame:
+    """(grp, cls, n, pivot, pivot_n, prev, prev_n): the groups of `found` without the classes that are not in `able`, by families (a partition's part of each)."""
+    names = ["grp", "cls", "n", "pivot", "pivot_n", "prev", "prev_n"]
+
+    def run(batches):
+        held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not held:
+            return
+        grp, cls, n = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((cls, n, grp))
+        grp, cls, n = grp[order], cls[order], n[order]
+        keep = np.append(True, (grp[1:] != grp[:-1]) | (cls[1:] != cls[:-1]))
+        grp, cls, n, first = _grouped(grp[keep], cls[keep], n[keep])
+        if not len(grp):
+            return
+        # _grouped keeps runs apart by place, and equal names are one run
+        grp, cls, n = _families(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(grp)))), cls, n)
+        first = np.flatnonzero(np.append(True, grp[1:] != grp[:-1]))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(grp))))
+        at = np.flatnonzero(cls == np.minimum.reduceat(cls, first)[group])[group]
+        before = np.arange(len(cls)) - 1
+        before[first] = at[first]
+        out = [grp, cls, n, cls[at], n[at], cls[before], n[before]]
+        for k in range(0, len(grp), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 20_000]) for x in out], names)
+
+    rows = found.filter("grp is not null").select("grp", "cls", "n").join(able.select("cls"), "cls").select("grp", "cls", "n")
+    return rows.repartition(n_partitions, "grp").mapInArrow(run, "grp long, cls long, n long, pivot long, pivot_n long, prev long, prev_n long")
 
 
 def pack_set(hashes: np.ndarray) -> bytes:
@@ -349,10 +409,11 @@ def bound_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(point("b", "y"), "b").join(point("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, allowed double")
 
 
-def best_partners(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are the most promising of a or of b: at most one for each class, so verifying them moves each set about once."""
+def best_partners(pairs: DataFrame, each: int = PARTNERS) -> DataFrame:
+    """The pairs (a, b) that are among the `each` most promising of a or of b: verifying them moves each set about so many times."""
     ends = pairs.select("a", "b", "allowed").union(pairs.select("b", "a", "allowed"))
-    best = ends.groupBy("a").agg(F.max(F.struct("allowed", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("allowed"), "b"))
+    best = ends.withColumn("place", place).filter(F.col("place") <= each)
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -418,42 +479,6 @@ def _candidates(points: Points, rows: np.ndarray, roots: np.ndarray, side: np.nd
         yield int(q), found
 
 
-def tree_candidates(rows: DataFrame, n_partitions: int) -> DataFrame:
-    """Candidate pairs (a, b, dense) of all jobs (job, side, cls, root, point).
-
-    Where a job's pairs outnumber DENSE times its members, it names every member with its first one instead, marked dense:
-    the cluster they fall into is searched as a whole. Token groups repeat pairs; a task tells each about once.
-    """
-
-    def run(batches):
-        told: set[tuple[int, int, bool]] = set()
-        for table in by_job(batches):
-            job, side, cls, root = (table.column(k).to_numpy() for k in range(4))
-            points = Points.decode(table.column(4).to_pylist())
-            at = np.append(np.flatnonzero(np.append(True, job[1:] != job[:-1])), len(job))
-            out = []
-            for a, b in zip(at[:-1], at[1:]):
-                pairs, dense = [], False
-                for q, found in _candidates(points, np.arange(a, b), root[a:b], side[a:b]):
-                    pairs += [(int(cls[a + q]), int(cls[a + k])) for k in found]
-                    if len(pairs) > DENSE * (b - a):
-                        first = int(cls[a:b].min())
-                        pairs, dense = [(int(c), first) for c in cls[a:b] if c != first], True
-                        break
-                for x, y in pairs:
-                    pair = (min(x, y), max(x, y), dense)
-                    if pair not in told:
-                        told.add(pair)
-                        out.append(pair)
-            if len(told) > 500_000:
-                told.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "b", "dense"])
-
-    ordered = rows.select("job", "side", "cls", "root", "point").repartition(n_partitions, "job").sortWithinPartitions("job")
-    return ordered.mapInArrow(run, "a long, b long, dense boolean")
-
-
 class _Roots:
     """Union-find over component roots."""
 
@@ -483,128 +508,141 @@ def join_block(keys: np.ndarray, roots: np.ndarray, side: np.ndarray, sets: list
     return out
 
 
-def verify_in_order(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links among the pairs (a, b) that connect different roots."""
-    union, out, row = _Roots(roots), [], {int(k): n for n, k in enumerate(keys)}
-    for p, q in zip(a.tolist(), b.tolist()):
-        if p in row and q in row:
-            x, y = union.top(int(roots[row[p]])), union.top(int(roots[row[q]]))
-            if x != y and linked(sets[row[p]], sets[row[q]]):
-                union.meet(x, y)
-                out.append((p, q))
+def spanning_forest(cls: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges (lower class, higher class) that connect what the pairs of rows connect; those of the lowest classes go first, so jobs with the same members tell the same edges."""
+    union, out = _Roots(cls), []
+    for a, b in sorted((min(x, y), max(x, y)) for x, y in ((int(cls[i]), int(cls[j])) for i, j in pairs)):
+        x, y = union.top(a), union.top(b)
+        if x != y:
+            union.meet(x, y)
+            out.append((a, b))
     return out
 
 
-def cluster_links(pairs: DataFrame, roots: DataFrame, sets: DataFrame, n_partitions: int) -> DataFrame:
-    """Links among candidates (a, b, dense) that connect different roots.
+def tree_candidates(rows: DataFrame, n_partitions: int) -> DataFrame:
+    """Spanning forests (a, b) of the candidate pairs of all jobs (job, side, cls, root, point). Groups repeat edges; a task tells each about once."""
 
-    Candidates are dealt by the connected cluster they form, large clusters by pairs of blocks, so a set moves once to its
-    cluster (once a block pair in a large one) and not once a pair or token. A cluster with a dense job is searched
-    by a tree over all its members; in others the pairs are verified. Either way a link inside a component is never tried.
+    def run(batches):
+        told: set[tuple[int, int]] = set()
+        for table in by_job(batches):
+            job, side, cls, root = (table.column(k).to_numpy() for k in range(4))
+            points = Points.decode(table.column(4).to_pylist())
+            at = np.append(np.flatnonzero(np.append(True, job[1:] != job[:-1])), len(job))
+            out = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                pairs = [(q, k) for q, found in _candidates(points, np.arange(a, b), root[a:b], side[a:b]) for k in found.tolist()]
+                for edge in spanning_forest(cls[a:b], pairs):
+                    if edge not in told:
+                        told.add(edge)
+                        out.append(edge)
+            if len(told) > 500_000:
+                told.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+
+    ordered = rows.select("job", "side", "cls", "root", "point").repartition(n_partitions, "job").sortWithinPartitions("job")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def cluster_links(edges: DataFrame, roots: DataFrame, sets: DataFrame, n_partitions: int) -> DataFrame:
+    """Links that connect different roots within the clusters that the edges (a, b) form.
+
+    A set moves once to its cluster, or once a block pair in a cluster of more than CLUSTER_BLOCK members.
     """
-    clusters = components(pairs)
-    marked = pairs.select(F.col("a").alias("node"), "dense").join(clusters, "node")
-    dense = stage(marked.groupBy("root").agg(F.bool_or("dense").alias("dense")), "jaccard-dense")
+    clusters = components(edges)
     sizes = stage(clusters.groupBy("root").agg(F.count("*").alias("members")), "jaccard-cluster-sizes")
     n_blocks = F.ceil(F.col("members") / CLUSTER_BLOCK).cast("int")
-    placed = clusters.join(sizes, "root").join(dense, "root").select("node", F.col("root").alias("cluster"), "dense", n_blocks.alias("blocks"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("block"))
-    placed = stage(placed.join(roots, "node", "left").select("node", "cluster", "dense", "blocks", "block", F.coalesce("root", "node").alias("root")), "jaccard-clusters")
-    job = lambda x, y: F.xxhash64("cluster", F.least(x, y), F.greatest(x, y)).alias("job")
-    end = lambda c: placed.filter("not dense").select(F.col("node").alias(c), "cluster", F.col("block").alias(f"block_{c}"), F.col("root").alias(f"root_{c}"))
-    both = pairs.drop("dense").join(end("a"), "a").join(end("b").drop("cluster"), "b")
-    both = stage(both.select(job("block_a", "block_b"), "a", "b", "root_a", "root_b"), "jaccard-cluster-pairs")
-    needs = both.select("job", F.col("a").alias("cls"), F.col("root_a").alias("root")).union(both.select("job", "b", "root_b")).distinct().withColumn("side", F.lit(0))
-    other = placed.filter("dense").withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    needs = needs.union(other.select(job("block", "peer"), F.col("node").alias("cls"), "root", F.when(F.col("block") <= F.col("peer"), 0).otherwise(1)))
-    needs = stage(needs, "jaccard-needs")
-    rows = needs.join(sets, "cls").select("job", "side", "cls", "root", F.lit(None).cast("long").alias("other"), "set")
-    rows = rows.union(both.select("job", F.lit(2), "a", F.lit(None).cast("long"), "b", F.lit(None).cast("binary")))
+    placed = clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), n_blocks.alias("blocks"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("block"))
+    placed = placed.join(roots, "node", "left").select("node", "cluster", "blocks", "block", F.coalesce("root", "node").alias("root"))
+    each = placed.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    job = F.xxhash64("cluster", F.least("block", "peer"), F.greatest("block", "peer")).alias("job")
+    needs = stage(each.select(job, F.col("node").alias("cls"), "root", F.when(F.col("block") <= F.col("peer"), 0).otherwise(1).alias("side")), "jaccard-needs")
+    rows = needs.join(sets, "cls").select("job", "side", "cls", "root", "set")
 
     def run(batches):
         for table in by_job(batches):
-            job, side, cls = (table.column(k).to_numpy() for k in range(3))
+            job, side, cls, root = (table.column(k).to_numpy() for k in range(4))
             at = np.append(np.flatnonzero(np.append(True, job[1:] != job[:-1])), len(job))
             out = []
-            for a, b in zip(at[:-1], at[1:]):
-                m = a + int(np.searchsorted(side[a:b], 2))  # sets first, then pairs
-                root = table.column(3).slice(a, m - a).to_numpy()
-                held = [unpack_set(x.as_py()) for x in table.column(5).slice(a, m - a)]
-                if m == b:
-                    out += join_block(cls[a:m], root, side[a:m], held)
-                else:
-                    out += verify_in_order(cls[a:m], root, held, cls[m:b], table.column(4).slice(m, b - m).to_numpy())
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                out += join_block(cls[a:b], root[a:b], side[a:b], [unpack_set(x) for x in table.column(4).slice(a, b - a).to_pylist()])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
-    ordered = rows.repartition(n_partitions, "job").sortWithinPartitions("job", "side", "cls", "other")
+    ordered = rows.repartition(n_partitions, "job").sortWithinPartitions("job", "side", "cls")
     return ordered.mapInArrow(run, "a long, b long")
 
 
 def open_jobs(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (job, side, cls, root) of the token groups whose members lie in different components, cut into block pairs."""
-    placed = groups.select("token", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = stage(placed.select("token", "cls", F.coalesce("root", "cls").alias("root")), "jaccard-placed")
-    open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("token", "members")
+    """Rows (job, side, cls, root) of the groups whose members lie in different components, cut into block pairs."""
+    placed = groups.select("grp", "cls").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    placed = stage(placed.select("grp", "cls", F.coalesce("root", "cls").alias("root")), "jaccard-placed")
+    open_ = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("grp", "members")
     open_ = stage(open_, "jaccard-open")
-    sizes = stage(placed.groupBy("token", "root").agg(F.count("*").alias("held")), "jaccard-sizes")
-    rest = placed.join(open_, "token")
-    rest = stage(rest, "jaccard-rest").join(sizes, ["token", "root"])
     half = BLOCK // 2
+    rest = placed.join(open_, "grp")
+    small = rest.filter(F.col("members") <= BLOCK).select(F.xxhash64("grp").alias("job"), F.lit(0).alias("side"), "cls", "root")
+    wide = stage(rest.filter(F.col("members") > BLOCK), "jaccard-rest")  # groups that need blocks
+    sizes = stage(wide.groupBy("grp", "root").agg(F.count("*").alias("held")), "jaccard-sizes")
     large = F.col("held") > half
-    pool = F.when(F.col("members") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("members") / half)))
-    block = F.when(large & (F.col("members") > BLOCK), F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.ceil(F.col("held") / half)))).otherwise(pool)
-    rest = stage(rest.select("token", "cls", "root", block.alias("block"), F.when(large & (F.col("members") > BLOCK), F.col("root")).alias("only")), "jaccard-blocks")
-    blocks = stage(rest.select("token", "block", "only").distinct(), "jaccard-block-list")
-    other = blocks.select("token", F.col("block").alias("block2"), F.col("only").alias("only2"))
-    jobs = blocks.join(other, "token").filter("block <= block2 and not (only is not null and only2 is not null and only = only2)")
-    job = F.xxhash64("token", "block", "block2").alias("job")
-    sided = jobs.select("token", "block", job, F.lit(0).alias("side")).union(jobs.filter("block <> block2").select("token", F.col("block2").alias("block"), job, F.lit(1).alias("side")))
-    rows = stage(rest.join(stage(sided, "jaccard-jobs"), ["token", "block"]).select("job", "side", "cls", "root"), "jaccard-job-rows")
-    drop(placed, open_, sizes, blocks)
+    pool = F.pmod(F.xxhash64("root"), F.ceil(F.col("members") / half))
+    block = F.when(large, F.xxhash64("root", F.pmod(F.xxhash64("cls"), F.ceil(F.col("held") / half)))).otherwise(pool)
+    cut = stage(wide.join(sizes, ["grp", "root"]).select("grp", "cls", "root", block.alias("block"), F.when(large, F.col("root")).alias("only")), "jaccard-blocks")
+    blocks = stage(cut.select("grp", "block", "only").distinct(), "jaccard-block-list")
+    other = blocks.select("grp", F.col("block").alias("block2"), F.col("only").alias("only2"))
+    jobs = blocks.join(other, "grp").filter("block <= block2 and not (only is not null and only2 is not null and only = only2)")
+    job = F.xxhash64("grp", "block", "block2").alias("job")
+    sided = jobs.select("grp", "block", job, F.lit(0).alias("side")).union(jobs.filter("block <> block2").select("grp", F.col("block2").alias("block"), job, F.lit(1).alias("side")))
+    rows = stage(small.union(cut.join(stage(sided, "jaccard-jobs"), ["grp", "block"]).select("job", "side", "cls", "root")), "jaccard-job-rows")
+    drop(placed, open_, wide, sizes, blocks, cut)
     return rows
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `docs` (doc_id long, text string)."""
+    with small_batches(docs.sparkSession):
+        return _components(docs)
+
+
+def _components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text")
     width = partitions(spark)
     signed = stage(signatures(docs), "jaccard-signatures")
     heavy = signed.filter("token is not null").groupBy("token").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "token").limit(HEAVY_MAX)
     tokens = np.array([r[0] for r in heavy.select("token").toLocalIterator()], np.int64).view(np.uint64)
     order = spark.sparkContext.broadcast(TokenOrder(tokens))
-    groups = stage(token_groups(prefix_entries(docs, order, 8 * width), width), "jaccard-groups")
+    found = stage(token_groups(prefix_entries(docs, order, 8 * width), width), "jaccard-tokens")
     release(spark)
+    hits = found.filter("hits is not null").groupBy("cls").agg(F.sum("hits").alias("hits"), F.max("n").alias("n"))
+    least_partner = F.ceil(F.col("n") * THRESHOLD / 100)
+    able = hits.filter(F.col("hits") >= 1 + F.floor(least_partner * WITNESS / 100)).select("cls")
     mine = signed.filter("cls is not null and doc_id is not null")
-    classes = stage(mine.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("point", ignorenulls=True).alias("point")), "jaccard-classes")
+    classes = mine.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("point", ignorenulls=True).alias("point"))
+    classes = stage(classes.join(able, "cls"), "jaccard-classes")
+    groups = stage(groups_in_play(found, classes, width), "jaccard-groups")
+    drop(found)
     fits = lambda m: (F.col("cls") != F.col(m)) & (100 * F.least("n", f"{m}_n") >= THRESHOLD * F.greatest("n", f"{m}_n"))
     pair = lambda m: groups.filter(fits(m)).select(F.least("cls", m).alias("a"), F.greatest("cls", m).alias("b"))
     pairs = stage(pair("pivot").union(pair("prev")).distinct(), "jaccard-star")
     near = stage(best_partners(stage(bound_pairs(pairs, classes), "jaccard-near")), "jaccard-pairs")
-    wanted = lambda some: stage(some.distinct().join(classes.select("cls", "rep"), "cls"), "jaccard-wanted")
-    want = wanted(near.select(F.col("a").alias("cls")).union(near.select("b")))
-    sets = stage(sets_of(docs, want), "jaccard-sets")
-    drop(pairs)
+    sets = stage(sets_of(docs, classes.select("cls", "rep").join(groups.select("cls").distinct(), "cls")), "jaccard-sets")
     links = stage(verify_pairs(near, sets), "jaccard-links")
+    drop(pairs, near)
     first = components(links)
     jobs = open_jobs(groups, first)
-    found = stage(tree_candidates(jobs.join(classes.select("cls", "point"), "cls"), width), "jaccard-candidates")
-    drop(jobs, groups)
-    again = found.groupBy("a", "b").agg(F.bool_or("dense").alias("dense"))
-    again = stage(again.join(near.withColumn("done", F.lit(True)), ["a", "b"], "left").filter("dense or done is null").drop("done"), "jaccard-pairs")
-    later = again.select(F.col("a").alias("cls")).union(again.select("b"))
-    missing = wanted(later.distinct().join(want.select("cls"), "cls", "left_anti"))
-    more_sets = stage(sets_of(docs, missing), "jaccard-sets")
-    drop(near, want, missing)
-    all_sets = sets.union(more_sets)
-    more = stage(cluster_links(again, first, all_sets, width), "jaccard-more-links")
-    drop(sets, more_sets, again, found, links)
+    drop(groups, links)
+    edges = stage(tree_candidates(jobs.join(classes.select("cls", "point"), "cls"), width), "jaccard-candidates")
+    drop(jobs)
+    more = stage(cluster_links(edges, first, sets, width), "jaccard-more-links")
+    drop(sets, edges)
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     drop(first, more)
-    rooted = stage(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "jaccard-rooted")
-    least = stage(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "jaccard-least")
-    named = stage(rooted.join(least, "root").select("cls", "component_id"), "jaccard-named")
+    rooted = stage(classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls").select("cls", "rep", "root"), "jaccard-rooted")
+    least = stage(rooted.groupBy("root").agg(F.min("rep").alias("least")), "jaccard-least")
+    linked_ = rooted.join(least, "root").select("cls", "least")
+    alone = mine.groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    named = stage(alone.join(linked_, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id")), "jaccard-named")
     drop(rooted, least, roots, classes)
     rows = signed.filter("token is null").select("doc_id", "n", "cls").join(named, "cls", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -8,7 +8,10 @@ setting is absent (tests), the warehouse folder serves instead; it is shared too
 from __future__ import annotations
 
 import gc
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir") + "/_staging"
-    return f"{root.rstrip('/')}/sediment-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/sediment-{spark.sparkContext.applicationId}")
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()  # a path without a scheme means the default file system, for Python workers too
+    return full.replace("file:/", "file:///", 1) if re.match("file:/[^/]", full) else full
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -61,8 +66,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send at most `rows` rows at once to Python workers from here on: whole texts and sets are wide, and workers hold a batch several times over."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Send at most `rows` rows at once to Python workers meanwhile: whole texts and sets are wide, and workers hold a batch several times over."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from sediment.llm import components as components_
 from sediment.llm import ngram_join
 from sediment.llm.ngram_join import jaccard_components
 
@@ -55,11 +56,10 @@ def corpus(seed, n_base=8, copies=9, edits=8, length=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,block,dense", [(1, 512, 8), (2, 4, 0)])
-def test_components_match_brute_force(spark, monkeypatch, seed, block, dense):
-    """Ordinary settings, and tiny blocks with every job dense so that block pairs and in-task joins run."""
+@pytest.mark.parametrize("seed,block", [(1, 512), (2, 4)])
+def test_components_match_brute_force(spark, monkeypatch, seed, block):
+    """Ordinary settings, and tiny blocks so that block pairs of groups and clusters run."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join, "DENSE", dense)
     monkeypatch.setattr(ngram_join, "CLUSTER_BLOCK", block)
     rows = corpus(seed)
     assert run(spark, rows) == brute(rows)
@@ -78,3 +78,27 @@ def test_null_id_before_the_same_text(spark):
     docs = spark.createDataFrame([(None, text), (1, text), (2, text + " more")], "doc_id long, text string").coalesce(1)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()), key=str)
     assert got == [(1, 36, 1), (2, 37, 1), (None, 36, None)]
+
+
+@pytest.mark.parametrize("one_task", [0, 40, 10_000])
+def test_components_of_any_graph(spark, monkeypatch, one_task):
+    """Contraction alone, contraction and one task, one task alone: paths, stars and random edges."""
+    monkeypatch.setattr(components_, "ONE_TASK", one_task)
+    rng = random.Random(6)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(200, 200 + k) for k in range(1, 30)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7), (500, 501), (501, 500)]
+    order = list(range(600))
+    rng.shuffle(order)
+    edges = [(order[a], order[b]) for a, b in edges]
+    parent = list(range(600))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        parent[max(x, y)] = min(x, y)
+    nodes = {n for a, b in edges if a != b for n in (a, b)}
+    got = {r.node: r.root for r in components_.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: top(n) for n in nodes}
