@@ -65,9 +65,3 @@ def missing_keys(log: DataFrame, keys: DataFrame, as_of: int | None = None) -> D
 def existing_keys(log: DataFrame, keys: DataFrame, as_of: int | None = None) -> DataFrame:
     """Asked keys with a live row."""
     return keys.select("key").distinct().join(resolve(log, as_of).select("key"), "key", "left_semi")
-
-
-def checksum(live: DataFrame) -> DataFrame:
-    """n_rows and an order-free checksum over keys and values of a full scan."""
-    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("key").cast("string"), F.col("value").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return live.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(digest), F.lit(0)).cast("long").alias("checksum"))

@@ -1,17 +1,17 @@
 """Compaction planning as functions of the `files` table (level, file_number, file_size, smallest_key, largest_key).
 
 The files table has one row a file, a fraction of the data; all choices are aggregates, window
-functions and range predicates over it.
+functions, running sums and range predicates over it, and no function compares files with keys or files pair by pair.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sediment.operators.ordered import sum_before
+from sediment.operators.ordered import neighbour, rank_rows, sum_before
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,9 @@ class Limits:
     flush_level: int = 2
     seek_bytes: int = 16 << 10
     least_seeks: int = 100
+    file_bytes: int = 2 << 20
+    slow_l0: int = 8
+    halt_l0: int = 12
 
 
 def level_scores(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -53,15 +56,50 @@ def overlapping(files: DataFrame, level: int, low, high) -> DataFrame:
     return files.filter((F.col("level") == level) & (F.col("largest_key") >= F.lit(low)) & (F.col("smallest_key") <= F.lit(high)))
 
 
+def find_file(files: DataFrame, level: int, key, inclusive: bool = True) -> DataFrame:
+    """The first file of a disjoint level whose range does not end before `key` (with `inclusive` false: whose range ends after it), or no row."""
+    ends = F.col("largest_key") >= F.lit(key) if inclusive else F.col("largest_key") > F.lit(key)
+    return files.filter((F.col("level") == level) & ends).orderBy("largest_key", "file_number").limit(1)
+
+
+def _point(value: Column, tie: int) -> Column:
+    """A place in key order: before (0), at (1) or after (2) a value."""
+    return F.struct(value.alias("value"), F.lit(tie).alias("tie")).alias("at")
+
+
+def overlap_sums(files: DataFrame, ranges: DataFrame, amount: Column) -> DataFrame:
+    """`ranges` (low, high: distinct pairs) with total: `amount` summed over the files that meet [low, high].
+
+    A file meets a range unless it starts after its end or ends before its start, so the total is one running sum over starts
+    less one over ends, and no range is compared with a file.
+    """
+    starts = files.select(_point(F.col("smallest_key"), 1), amount.alias("amount"))
+    ends = files.select(_point(F.col("largest_key"), 1), amount.alias("amount"))
+    upto = sum_before(starts, ranges.select(_point(F.col("high"), 2)).distinct()).select(F.col("at.value").alias("high"), F.col("total").alias("_upto"))
+    past = sum_before(ends, ranges.select(_point(F.col("low"), 0)).distinct()).select(F.col("at.value").alias("low"), F.col("total").alias("_past"))
+    return ranges.join(upto, "high").join(past, "low").select(*ranges.columns, (F.col("_upto") - F.col("_past")).alias("total"))
+
+
 def covering(files: DataFrame, keys: DataFrame) -> DataFrame:
     """Per key: how many files could hold it, and the first to be charged when more than one does (lowest level, newest file).
 
-    An interval join on a small files table; Spark picks the broadcast nested loop only if its size allows.
+    The ends of all files cut the key order into elementary segments; each file names the segments it spans, and a key finds its
+    segment by order. The segments follow the files table (a file names more than a few only in level 0 or above much finer levels),
+    and the keys are never compared with files.
     """
-    hits = keys.select("key").distinct().join(files, (F.col("key") >= F.col("smallest_key")) & (F.col("key") <= F.col("largest_key")))
+    ends = rank_rows(files.select(F.col("smallest_key").alias("end")).union(files.select("largest_key")).distinct(), "end", name="place")
+    place = lambda c: ends.select(F.col("end").alias(c), (F.col("place") * 2).alias(f"_{c}"))  # noqa: E731  even: the end itself; odd: up to the next end
+    spans = files.join(place("smallest_key"), "smallest_key").join(place("largest_key"), "largest_key")
+    spans = spans.withColumn("segment", F.explode(F.sequence("_smallest_key", "_largest_key")))
     order = F.struct(F.col("level").alias("level"), (-F.col("file_number")).alias("n"))
-    out = hits.groupBy("key").agg(F.count("*").alias("n_files"), F.min(order).alias("o"))
-    return out.select("key", "n_files", F.when(F.col("n_files") > 1, -F.col("o.n")).alias("charged_file"))
+    segments = spans.groupBy("segment").agg(F.count("*").alias("n_files"), F.min(order).alias("o"))
+    kind = files.schema["smallest_key"].dataType
+    asked = keys.select(F.col("key").cast(kind).alias("key")).filter("key is not null").distinct()
+    merged = ends.select(_point(F.col("end"), 0), "place").union(asked.select(_point(F.col("key"), 1), F.lit(None).cast("long")))
+    below = neighbour(merged, "at", F.when(F.col("place").isNotNull(), F.struct("place", F.col("at.value").alias("end"))), False, "below")
+    where = F.col("below.place") * 2 + F.when(F.col("below.end") == F.col("at.value"), 0).otherwise(1)
+    placed = below.filter("place is null and below is not null").select(F.col("at.value").alias("key"), where.alias("segment"))
+    return placed.join(segments, "segment").select("key", "n_files", F.when(F.col("n_files") > 1, -F.col("o.n")).alias("charged_file"))
 
 
 def overlap_groups(files: DataFrame, level: int = 0) -> DataFrame:
@@ -81,18 +119,19 @@ def boundary_groups(files: DataFrame, level: int) -> DataFrame:
     return files.filter(F.col("level") == level).withColumn("_new", fresh).withColumn("boundary_group", F.sum("_new").over(in_order).cast("long")).drop("_new")
 
 
-def _overlap_bytes(files: DataFrame, above: DataFrame, below_level: int, name: str) -> DataFrame:
-    below = files.filter(F.col("level") == below_level).select(F.col("smallest_key").alias("_lo"), F.col("largest_key").alias("_hi"), F.col("file_size").alias("_size"))
-    meets = (F.col("largest_key") >= F.col("_lo")) & (F.col("smallest_key") <= F.col("_hi"))
-    return above.join(below, meets, "left").groupBy("level", "file_number").agg(F.count("_size").alias(f"{name}_files"), F.coalesce(F.sum("_size"), F.lit(0)).cast("long").alias(f"{name}_bytes"))
-
-
 def trivial_moves(files: DataFrame, level: int, limits: Limits = Limits()) -> DataFrame:
     """Files of a level that can move down by a metadata edit: nothing below, and little two levels below."""
-    above = files.filter(F.col("level") == level)
-    parent, grand = _overlap_bytes(files, above, level + 1, "parent"), _overlap_bytes(files, above, level + 2, "grandparent")
-    joined = parent.join(grand, ["level", "file_number"])
-    return joined.filter((F.col("parent_files") == 0) & (F.col("grandparent_bytes") <= limits.grandparent_bytes)).select("level", "file_number", "grandparent_bytes")
+    ranges = files.filter(F.col("level") == level).select("level", "file_number", F.col("smallest_key").alias("low"), F.col("largest_key").alias("high"))
+    parents = overlap_sums(files.filter(F.col("level") == level + 1), ranges, F.lit(1)).filter("total = 0").drop("total")
+    grand = overlap_sums(files.filter(F.col("level") == level + 2), parents, F.col("file_size"))
+    return grand.filter(F.col("total") <= limits.grandparent_bytes).select("level", "file_number", F.col("total").alias("grandparent_bytes"))
+
+
+def next_file(files: DataFrame, level: int, pointer=None) -> DataFrame:
+    """The file that a size compaction of a level begins with: the first that ends after the level's rotation pointer, or the first of all."""
+    mine = files.filter(F.col("level") == level)
+    ahead = [] if pointer is None else [F.when(F.col("largest_key") > F.lit(pointer), 0).otherwise(1)]
+    return mine.orderBy(*ahead, "smallest_key", "file_number").limit(1)
 
 
 def expand_inputs(files: DataFrame, level: int, low, high, limits: Limits = Limits()) -> DataFrame:
@@ -129,14 +168,27 @@ def flush_level(files: DataFrame, low, high, limits: Limits = Limits()) -> int:
 
 
 def output_cuts(entries: DataFrame, files: DataFrame, level: int, cap: int) -> DataFrame:
-    """`entries` (key) with output: a new output file starts when the grandparent bytes passed since the last start exceed `cap`.
+    """`entries` (key) with output, from 0: a new output file starts at the first key by which more than `cap` bytes of grandparent files have been passed since the last start.
 
-    The rule's running total resets at each cut; cutting on floor(total / cap) of the bytes passed keeps each output's overlap within
-    one file of the cap and needs no sequential scan.
+    A key has passed the files that end before it; files that end before the first key of all don't count. Between
+    keys only the passed bytes matter, and they take at most one value a grandparent file: those values are folded in order, on a
+    table as long as the files of one level, and keys meet their output by that value.
     """
-    passed = files.filter(F.col("level") == level + 2).select(F.col("largest_key").alias("at"), F.col("file_size").alias("amount"))
-    out = sum_before(passed, entries.select(F.col("key").alias("at")).distinct())
-    return out.select(F.col("at").alias("key"), F.floor(F.col("total") / cap).cast("long").alias("output"))
+    ends = files.filter(F.col("level") == level + 2).select(F.col("largest_key").alias("at"), F.col("file_size").alias("amount"))
+    kind = files.schema["largest_key"].dataType
+    passed = sum_before(ends, entries.select(F.col("key").cast(kind).alias("at")).distinct())
+    values = passed.select("total").distinct()
+    steps = values.agg(F.sort_array(F.collect_list("total")).alias("totals"))
+    begin = F.struct(F.lit(None).cast("long").alias("start"), F.array().cast("array<bigint>").alias("cuts"))
+
+    def step(state, total):
+        cut = state.start.isNull() | (total - state.start > F.lit(cap))
+        return F.when(cut, F.struct(total.alias("start"), F.concat(state.cuts, F.array(total)).alias("cuts"))).otherwise(state)
+
+    cuts = steps.select(F.explode(F.aggregate("totals", begin, step, lambda state: state.cuts)).alias("total"), F.lit(1).alias("new"))
+    number = F.sum(F.coalesce("new", F.lit(0))).over(Window.orderBy("total")) - 1  # over at most one row a grandparent file
+    made = values.join(cuts, "total", "left").select("total", number.cast("long").alias("output"))
+    return passed.join(made, "total").select(F.col("at").alias("key"), "output")
 
 
 def approximate_offset(files: DataFrame, keys: DataFrame) -> DataFrame:

@@ -1,26 +1,43 @@
 """A store: a folder of key-sorted Parquet runs and a manifest log, read and written as DataFrames.
 
-Folder layout: data/NNNNNN-xxxxxxxx/ (one run each), manifest/NNNNNNNNNN.json (one edit each). An edit is
-committed by creating its file only if it is absent, which Hadoop file systems do atomically; a
-writer that loses the race fails and can retry. Readers fix a version when they open it.
+Folder layout: data/NNNNNN-xxxxxxxx/ (the files of one run), manifest/NNNNNNNNNN.json (one edit each) and
+.../NNNNNNNNNN.roll.json (the folded state after that edit, every ROLL edits). The manifest has an entry a Parquet file with its
+key range, so reads, merges and size estimates touch only the files that can matter.
+
+An edit is written aside and published by a rename that fails if its number is taken, so a reader never sees half an edit and a
+writer that loses the race gets ConflictError and can retry; other trouble of the file system is StoreError. (On object stores without
+rename the connector must offer a conditional put.) Readers fix a version when they open it.
+
+Key ends are kept as text that gives the value back exactly (bytes in hex, decimals, dates and timestamps in their plain forms) and are compared as values.
 """
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
+import math
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sediment.operators.batch import WriteBatch, assign_sequences
 from sediment.operators.cursor import Cursor
-from sediment.operators.log import get, multi_get, resolve
+from sediment.operators.checksum import ordered_checksum, stored_checksum
+from sediment.operators.log import DELETE, get, multi_get, resolve
+from sediment.plans import planner
 from sediment.plans.compact import compact
 from sediment.plans.planner import Limits
 
 BLOOM_KEYS = 1_000_000  # expected distinct keys a file's Parquet Bloom filter is sized for
+ROLL = 32  # edits from one folded manifest to the next
+_RUN = re.compile(r"\d{6,}-[0-9a-f]{8}")
+_EDIT = re.compile(r"(\d{10})(\.roll)?\.json")
+_PIN = re.compile(r"(\d{18})-\d{10}")
 
 
 class StoreError(Exception):
@@ -31,6 +48,25 @@ class ConflictError(StoreError):
     """Another writer committed this edit number first."""
 
 
+def _shown(key):
+    if isinstance(key, bytes | bytearray):
+        return bytes(key).hex()
+    return key if key is None or isinstance(key, bool | int | float | str) else str(key)
+
+
+def _parsed(kind: str, shown):
+    """The value that _shown stands for, of a Spark type's simple name."""
+    if kind == "binary":
+        return bytes.fromhex(shown)
+    if kind.startswith("decimal"):
+        return decimal.Decimal(shown)
+    if kind == "date":
+        return datetime.date.fromisoformat(shown)
+    if kind.startswith("timestamp"):
+        return datetime.datetime.fromisoformat(shown)
+    return shown
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, state: dict, limits: Limits = Limits()):
         self.spark, self.path, self._state, self._closed, self.limits = spark, path.rstrip("/"), state, False, limits
@@ -38,20 +74,18 @@ class Store:
     # opening and closing
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, schema: str | None = None, comparator: str = "bytewise", create_if_missing: bool = False, error_if_exists: bool = False, codec: str = "zstd", limits: Limits = Limits()) -> Store:
-        """Open or create. `schema` gives the types of key and value on creation ("key binary, value binary" if absent)."""
+    def open(cls, spark: SparkSession, path: str, schema: str | None = None, comparator: str = "bytewise", create_if_missing: bool = False, error_if_exists: bool = False, codec: str = "zstd", limits: Limits = Limits(), version: int | None = None) -> Store:
+        """Open or create, at the last or an earlier version. `schema` gives the types of key and value on creation ("key binary, value binary" if absent)."""
         path = path.rstrip("/")
-        fs, root = cls._fs(spark, path)
-        exists = fs.exists(cls._hadoop(spark, f"{path}/manifest"))
+        exists = bool(cls._names(spark, f"{path}/manifest"))
         if exists and error_if_exists:
             raise StoreError("the store exists")
         if not exists:
             if not create_if_missing:
                 raise StoreError("the store does not exist")
             types = StructType.fromDDL(schema or "key binary, value binary")
-            first = {"edit_id": 1, "comparator": comparator, "schema": types.jsonValue(), "codec": codec, "next_file_number": 1, "last_sequence": 0, "added": [], "deleted": []}
-            cls._create(spark, f"{path}/manifest/{1:010d}.json", json.dumps(first))
-        store = cls(spark, path, cls._fold(spark, path), limits)
+            cls._publish(spark, path, {"edit_id": 1, "comparator": comparator, "schema": types.jsonValue(), "codec": codec, "next_file_number": 1, "last_sequence": 0, "sealed": 0, "added": [], "deleted": []})
+        store = cls(spark, path, cls._fold(spark, path, version), limits)
         if store._state["comparator"] != comparator:
             raise StoreError(f"the store's comparator is {store._state['comparator']}")
         return store
@@ -72,12 +106,13 @@ class Store:
     @classmethod
     def destroy(cls, spark: SparkSession, path: str) -> None:
         """Delete what a store writes and nothing else; a missing store is fine."""
-        fs, _ = cls._fs(spark, path)
-        for part in ("data", "manifest", "snapshots"):
-            fs.delete(cls._hadoop(spark, f"{path}/{part}"), True)
-        root = cls._hadoop(spark, path)
-        if fs.exists(root) and not fs.listStatus(root):
-            fs.delete(root, False)
+        fs, root = cls._fs(spark, path)
+        for part, ours in (("data", _RUN), ("manifest", _EDIT), ("snapshots", _PIN)):
+            for name in cls._names(spark, f"{path}/{part}"):
+                if ours.fullmatch(name) or name.startswith(".edit-"):
+                    fs.delete(cls._hadoop(spark, f"{path}/{part}/{name}"), True)
+            cls._drop_empty(spark, f"{path}/{part}")
+        cls._drop_empty(spark, path)
 
     # files
 
@@ -91,41 +126,93 @@ class Store:
         return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
 
     @classmethod
-    def _create(cls, spark, path: str, text: str) -> None:
+    def _names(cls, spark, folder: str) -> list[str]:
+        fs, root = cls._fs(spark, folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+
+    @classmethod
+    def _drop_empty(cls, spark, folder: str) -> None:
+        fs, root = cls._fs(spark, folder)
+        if fs.exists(root) and not fs.listStatus(root):
+            fs.delete(root, False)
+
+    @classmethod
+    def _put(cls, spark, path: str, text: str) -> None:
+        """Write a file aside, then give it its name if nobody has."""
         fs, at = cls._fs(spark, path)
+        folder, _, name = path.rpartition("/")
+        aside = cls._hadoop(spark, f"{folder}/.edit-{name}-{uuid.uuid4().hex}")
+        jvm = spark._jvm.org.apache.hadoop.fs
         try:
-            out = fs.create(at, False)
-        except Exception as e:
-            raise ConflictError(f"{path} exists") from e
-        out.write(bytearray(text.encode()))
-        out.close()
+            out = fs.create(aside, False)
+            out.write(bytearray(text.encode()))
+            out.close()
+            plain = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+            plain[0] = getattr(jvm, "Options$Rename").NONE
+            jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(at), plain)
+        except Py4JJavaError as e:
+            taken = e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException" or fs.exists(at)
+            fs.delete(aside, False)
+            raise (ConflictError(f"{path} exists") if taken else StoreError(f"{path}: {e.java_exception}")) from e
 
     @classmethod
-    def _edits(cls, spark, path: str, upto: int | None = None) -> list[dict]:
-        """Manifest edits in order. The manifest has a line a commit, so it is small; it is read through Spark, whose readers know every store."""
-        rows = spark.read.text(f"{path}/manifest", wholetext=True).collect()
-        edits = sorted((json.loads(r.value) for r in rows), key=lambda e: e["edit_id"])
-        if [e["edit_id"] for e in edits] != list(range(1, len(edits) + 1)):
-            raise StoreError("the manifest has gaps")
-        return edits if upto is None else edits[:upto]
+    def _publish(cls, spark, path: str, edit: dict) -> None:
+        cls._put(spark, f"{path}/manifest/{edit['edit_id']:010d}.json", json.dumps(edit))
+
+    @classmethod
+    def _json(cls, spark, path: str) -> dict:
+        fs, at = cls._fs(spark, path)
+        stream = fs.open(at)
+        try:
+            return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        except ValueError as e:
+            raise StoreError(f"{path} is damaged") from e
+        finally:
+            stream.close()
+
+    @staticmethod
+    def _apply(state: dict, edit: dict) -> dict:
+        """The state after an edit; deletions come first."""
+        files = dict(state.get("files", {}))
+        for n in edit.get("deleted", []):
+            files.pop(n, None)
+        files |= {f["file_number"]: f for f in edit.get("added", [])}
+        pointers = state.get("pointers", {}) | edit.get("pointers", {})
+        applied = state.get("applied", {}) | edit.get("applied", {})
+        rest = {k: v for k, v in edit.items() if k not in ("added", "deleted", "pointers", "applied", "work") and v is not None}
+        return state | rest | {"files": files, "pointers": pointers, "applied": applied}
 
     @classmethod
     def _fold(cls, spark, path: str, version: int | None = None) -> dict:
-        state: dict = {"files": {}}
-        for e in cls._edits(spark, path, version):
-            for f in e.get("deleted", []):
-                state["files"].pop(f, None)
-            for f in e.get("added", []):
-                state["files"][f["file_number"]] = f
-            state |= {k: v for k, v in e.items() if k not in ("added", "deleted") and v is not None}
+        """The state at a version: the newest folded manifest at or before it and the edits that follow."""
+        found = [(int(m[1]), bool(m[2])) for n in cls._names(spark, f"{path}/manifest") if (m := _EDIT.fullmatch(n))]
+        edits = sorted(n for n, rolled in found if not rolled and (version is None or n <= version))
+        base = max((n for n, rolled in found if rolled and (version is None or n <= version)), default=0)
+        state: dict = {"files": {}, "edit_id": 0}
+        if base:
+            state = cls._json(spark, f"{path}/manifest/{base:010d}.roll.json")
+            state["files"] = {f["file_number"]: f for f in state["files"]}
+        later = [n for n in edits if n > base]
+        if not base and not later or later != list(range(base + 1, base + 1 + len(later))):
+            raise StoreError("the manifest has gaps")
+        for n in later:
+            state = cls._apply(state, cls._json(spark, f"{path}/manifest/{n:010d}.json"))
+        missing = [k for k in ("comparator", "schema", "next_file_number", "last_sequence") if k not in state]
+        if missing:
+            raise StoreError(f"the manifest lacks {', '.join(missing)}")
         return state
 
     def _commit(self, **edit) -> None:
         if self._closed:
             raise StoreError("the store is closed")
-        number = self._state["edit_id"] + 1
-        self._create(self.spark, f"{self.path}/manifest/{number:010d}.json", json.dumps({"edit_id": number, **edit}))
-        self._state = self._fold(self.spark, self.path)
+        edit["edit_id"] = self._state["edit_id"] + 1
+        self._publish(self.spark, self.path, edit)
+        self._state = self._apply(self._state, edit)
+        if edit["edit_id"] % ROLL == 0:
+            try:
+                self._put(self.spark, f"{self.path}/manifest/{edit['edit_id']:010d}.roll.json", json.dumps(self._state | {"files": list(self._state["files"].values())}))
+            except ConflictError:
+                pass
 
     @property
     def version(self) -> int:
@@ -143,46 +230,99 @@ class Store:
     def files(self) -> list[dict]:
         return sorted(self._state["files"].values(), key=lambda f: (f["level"], f["file_number"]))
 
+    def _ends(self, f: dict) -> tuple:
+        kind = self.schema["key"].dataType.simpleString()
+        return _parsed(kind, f["smallest_key"]), _parsed(kind, f["largest_key"])
+
+    def _meeting(self, low=None, high=None, levels=None) -> list[dict]:
+        """Files whose range meets [low, high]."""
+        out = []
+        for f in self.files():
+            a, b = self._ends(f)
+            if (levels is None or f["level"] in levels) and (low is None or b >= low) and (high is None or a <= high):
+                out.append(f)
+        return out
+
+    def files_table(self) -> DataFrame:
+        """The manifest's files as the table that the planner's functions take."""
+        kind = self.schema["key"].dataType
+        rows = [(f["level"], f["file_number"], f["file_size"], *self._ends(f)) for f in self.files()]
+        types = StructType.fromDDL("level int, file_number long, file_size long").add("smallest_key", kind).add("largest_key", kind)
+        return self.spark.createDataFrame(rows, types)
+
     def _runs(self, files: list[dict]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{f['dir']}" for f in files])
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{f['dir']}/{f['file']}" for f in files])
 
-    def _write_run(self, rows: DataFrame, level: int) -> dict | None:
-        """One sorted run: ranges of key, sorted inside, with min/max statistics and a Bloom filter on key."""
-        number = self._state["next_file_number"]
-        name = f"{number:06d}-{uuid.uuid4().hex[:8]}"  # two writers may take the same number; only one of them commits it
+    def _write_run(self, rows: DataFrame, level: int, n_files: int | None = None, cuts: DataFrame | None = None) -> list[dict]:
+        """A sorted run as files of disjoint key ranges, with min/max statistics and a Bloom filter on key: their manifest entries.
+
+        Without n_files adaptive execution sizes them. cuts (key, output): no file holds keys of two outputs.
+        """
+        name = f"{self._state['next_file_number']:06d}-{uuid.uuid4().hex[:8]}"  # two writers may take the same number; only one of them commits it
         target = f"{self.path}/data/{name}"
-        ordered = rows.select("key", "seq", "kind", "value").repartitionByRange("key").sortWithinPartitions("key", F.desc("seq"), F.desc("kind"))
-        ordered.write.option("compression", self._state["codec"]).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(BLOOM_KEYS)).parquet(target)
-        entry = self._describe(name, number, level)
-        if entry is None:
+        rows = rows.select("key", "seq", "kind", "value")
+        by = ["key"]
+        if cuts is not None:
+            rows, by = rows.join(cuts, "key"), ["output", "key"]
+        dealt = rows.repartitionByRange(*([n_files] if n_files else []), *by).sortWithinPartitions(*by, F.desc("seq"), F.desc("kind"))
+        out = dealt.write.option("maxRecordsPerFile", 0).option("compression", self._state["codec"]).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(BLOOM_KEYS))
+        (out if cuts is None else out.partitionBy("output")).parquet(target)
+        entries = self._describe(name, level, self._state["next_file_number"])
+        if not entries:
             fs, root = self._fs(self.spark, target)
             fs.delete(root, True)
-        return entry
+        return entries
 
-    def _describe(self, name: str, number: int, level: int) -> dict | None:
-        """The manifest entry of a run folder, from its own rows; None if it has none. Counts and ends come from Parquet footers where Spark can push them down."""
+    def _describe(self, name: str, level: int, number: int) -> list[dict]:
+        """Manifest entries of a run folder, from its own rows: numbered from `number` in key order, none for empty files."""
         target = f"{self.path}/data/{name}"
-        stored = self.spark.read.schema(self.schema).parquet(target)
-        show = F.hex if stored.schema["key"].dataType.typeName() == "binary" else (lambda c: c)
-        n, low, high, top = stored.agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("seq").alias("top")).select("n", show(F.col("low")), show(F.col("high")), "top").first()
-        if not n:
-            return None
-        fs, root = self._fs(self.spark, target)
-        plain = lambda k: k if isinstance(k, int | float | str) else str(k)
-        return {"level": level, "file_number": number, "dir": name, "n_entries": n, "file_size": fs.getContentSummary(root).getLength(), "smallest_key": plain(low), "largest_key": plain(high), "largest_seq": top}
+        stored = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(target)
+        ends = stored.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("n"), F.count_if(F.col("kind") == DELETE).alias("gone"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("seq").alias("top"))
+        rows = ends.orderBy("low", "path").collect()  # one row a file, like the manifest
+        inside = lambda path: path.rpartition(f"/{name}/")[2]
+        return [{"level": level, "file_number": number + k, "dir": name, "file": inside(r.path), "n_entries": r.n, "n_deletes": r.gone, "file_size": r.bytes, "smallest_key": _shown(r.low), "largest_key": _shown(r.high), "largest_seq": r.top} for k, r in enumerate(rows)]
 
     # writing
 
-    def write(self, ops: WriteBatch | DataFrame) -> int:
-        """Apply a batch, or a DataFrame of (batch, ordinal, kind, key, value), atomically as a new level-0 run; returns the last sequence number."""
+    def write(self, ops: WriteBatch | DataFrame, source: str | None = None, batch_id: int | None = None) -> int:
+        """Apply a batch, or a DataFrame of (batch, ordinal, kind, key, value), atomically as a new level-0 run; returns the last sequence number.
+
+        With a source's name and batch id, a batch that the manifest already has is skipped.
+        """
+        if self.applied(source, batch_id):
+            return self.last_sequence
         if isinstance(ops, WriteBatch):
             types = self.schema
             ops = ops.to_rows(self.spark, types["key"].dataType.simpleString(), types["value"].dataType.simpleString()).withColumn("batch", F.lit(0).cast("long"))
-        added = self._write_run(assign_sequences(ops, self.last_sequence), 0)
-        if added:
-            self._commit(added=[added], deleted=[], next_file_number=added["file_number"] + 1, last_sequence=added["largest_seq"])
+        return self._append(assign_sequences(ops, self.last_sequence), source, batch_id, None)
+
+    def write_log(self, rows: DataFrame, source: str | None = None, batch_id: int | None = None, sealed: int | None = None) -> int:
+        """Add changes (key, seq, kind, value) under their own sequence numbers; late ones resolve by number, not by arrival.
+
+        `sealed` says that no change at or below it will come any more. Compaction forgets deletes and old
+        versions only up to there, so that what comes late finds what must hide it.
+        """
+        if self.applied(source, batch_id):
+            return self.last_sequence
+        return self._append(rows, source, batch_id, self._state.get("sealed", 0) if sealed is None else sealed)
+
+    def applied(self, source: str | None, batch_id: int | None) -> bool:
+        return source is not None and batch_id is not None and batch_id <= self._state.get("applied", {}).get(source, -1)
+
+    def _append(self, rows: DataFrame, source: str | None, batch_id: int | None, sealed: int | None) -> int:
+        if self._closed:
+            raise StoreError("the store is closed")
+        while len({f["dir"] for f in self.files() if f["level"] == 0}) >= self.limits.halt_l0:  # writers wait for compaction, here by doing it
+            if not self.compact(0):
+                break
+        added = self._write_run(rows, 0)
+        mark = {} if source is None or batch_id is None else {source: batch_id}
+        if added or mark:
+            last = max([self.last_sequence, *(f["largest_seq"] for f in added)])
+            work = {"kind": "write", "level": 0, "read": 0, "written": sum(f["file_size"] for f in added)}
+            self._commit(added=added, deleted=[], next_file_number=self._state["next_file_number"] + len(added), last_sequence=last, sealed=last if sealed is None else sealed, applied=mark, work=work)
         return self.last_sequence
 
     def put(self, key, value) -> int:
@@ -195,12 +335,43 @@ class Store:
 
     def log(self, low=None, high=None) -> DataFrame:
         """All versions. Files whose range cannot meet [low, high] are left out before anything is opened."""
-        shown = (lambda k: k.hex().upper()) if self.schema["key"].dataType.typeName() == "binary" else (lambda k: k)
-        files = [f for f in self.files() if (low is None or f["largest_key"] >= shown(low)) and (high is None or f["smallest_key"] <= shown(high))]
-        return self._runs(files)
-
-    def scan(self, as_of: int | None = None) -> DataFrame:
-        return resolve(self.log(), as_of)
+        return self._runs(self._meeting(low, high))
+
+    def _settled(self, files: list[dict]) -> tuple[list[dict], list[dict]]:
+        """Files whose rows are live as they are (one version a key, no delete, no other file over their range), in key order; and the rest."""
+        ordered = sorted(((*self._ends(f), f) for f in files), key=lambda x: x[:2])
+        settled, rest, upto = [], [], None
+        for k, (low, high, f) in enumerate(ordered):
+            alone = (upto is None or upto < low) and (k + 1 == len(ordered) or ordered[k + 1][0] > high)
+            (settled if alone and f.get("single") and not f["n_deletes"] else rest).append(f)
+            upto = high if upto is None else max(upto, high)
+        return settled, rest
+
+    def scan(self, as_of: int | None = None, low=None, high=None) -> DataFrame:
+        """Live rows, of keys in [low, high] if given. Settled files are read as they are; only the rest is merged, which is what costs a shuffle."""
+        settled, rest = self._settled(self._meeting(low, high))
+
+        def seen(log: DataFrame) -> DataFrame:
+            for bound, test in ((low, F.col("key") >= F.lit(low)), (high, F.col("key") <= F.lit(high))):
+                log = log if bound is None else log.filter(test)
+            return log
+
+        plain = seen(self._runs(settled)).drop("kind")
+        plain = plain if as_of is None else plain.filter(F.col("seq") <= F.lit(as_of))
+        if not rest:
+            return plain
+        merged = resolve(seen(self._runs(rest)), as_of)
+        return plain.unionByName(merged) if settled else merged
+
+    def checksum(self) -> DataFrame:
+        """One row: n_rows and the crc32c of all live keys and values (binary) in key order. A store of settled files is summed in place, without a shuffle."""
+        settled, rest = self._settled(self.files())
+        if rest or not settled:
+            return ordered_checksum(self.scan())
+        tail = lambda path: F.xxhash64(F.substring_index(path, "/", -3))
+        rows = self._runs(settled).select("key", "value", tail(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.row_index").alias("row"))
+        names = self.spark.createDataFrame([(f"{self.path}/data/{f['dir']}/{f['file']}", k) for k, f in enumerate(settled)], "name string, place long")
+        return stored_checksum(rows, names.select(tail(F.col("name")).alias("path"), "place"))
 
     def get(self, key, as_of: int | None = None):
         row = get(self.log(key, key), key, as_of).first()
@@ -216,86 +387,118 @@ class Store:
 
     def snapshot(self) -> int:
         """Pin the current sequence number; versions it can see survive compaction until it is released."""
-        name = f"{self.path}/snapshots/{self.last_sequence:018d}-{self.version:010d}"
         try:
-            self._create(self.spark, name, "")
+            self._put(self.spark, f"{self.path}/snapshots/{self.last_sequence:018d}-{self.version:010d}", "")
         except ConflictError:
             pass
         return self.last_sequence
 
+    def _pins(self) -> list[tuple[int, str]]:
+        return [(int(m[1]), n) for n in self._names(self.spark, f"{self.path}/snapshots") if (m := _PIN.fullmatch(n))]
+
     def release(self, seq: int) -> None:
-        fs, root = self._fs(self.spark, f"{self.path}/snapshots")
-        if fs.exists(root):
-            for status in fs.listStatus(root):
-                if int(status.getPath().getName().split("-")[0]) == seq:
-                    fs.delete(status.getPath(), False)
+        fs, _ = self._fs(self.spark, self.path)
+        for pinned, name in self._pins():
+            if pinned == seq:
+                fs.delete(self._hadoop(self.spark, f"{self.path}/snapshots/{name}"), False)
 
     def oldest_snapshot(self) -> int:
-        fs, root = self._fs(self.spark, f"{self.path}/snapshots")
-        held = [int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(root)] if fs.exists(root) else []
-        return min(held, default=self.last_sequence)
+        return min((seq for seq, _ in self._pins()), default=self.last_sequence)
 
     # compaction
 
     def pick_level(self) -> int | None:
         """The level most in need of compaction, by the planner's scores."""
-        best, level = 1.0, None
-        for n in range(self.limits.levels - 1):
-            mine = [f for f in self.files() if f["level"] == n]
-            full = self.limits.l0_files if n == 0 else self.limits.base_bytes * self.limits.ratio ** (n - 1)
-            score = len(mine) / full if n == 0 else sum(f["file_size"] for f in mine) / full
-            if score >= best and (level is None or score > best):
-                best, level = score, n
-        return level
+        row = planner.choose_level(self.files_table(), self.limits).first()
+        return None if row is None else row.level
 
     def compact(self, level: int | None = None) -> bool:
-        """Merge a level into the next; without `level`, the most pressing one. Snapshots keep seeing what they saw."""
+        """One bounded merge of a level into the next; without `level`, of the most pressing one. Snapshots keep seeing what they saw.
+
+        Level 0 gives the files that overlap its oldest one, directly or through others; a deeper level
+        the file after its rotation pointer. Files that share a user key go together.
+        """
         level = self.pick_level() if level is None else level
-        base = [] if level is None else [f for f in self.files() if f["level"] == level]
+        if level is None:
+            return False
+        table = self.files_table()
+        if level == 0:
+            groups = planner.overlap_groups(table, 0)
+            oldest = table.filter("level = 0").agg(F.min("file_number")).first()[0]
+            chosen = groups.join(groups.filter(F.col("file_number") == F.lit(oldest)).select("overlap_group"), "overlap_group", "left_semi")
+        else:
+            pointer = self._state.get("pointers", {}).get(str(level))
+            start = planner.next_file(table, level, None if pointer is None else _parsed(self.schema["key"].dataType.simpleString(), pointer))
+            groups = planner.boundary_groups(table, level)
+            chosen = groups.join(start.select("file_number"), "file_number", "left_semi").select("boundary_group").join(groups, "boundary_group")
+        numbers = {r[0] for r in chosen.select("file_number").collect()}
+        base = [f for f in self.files() if f["level"] == level and f["file_number"] in numbers]
         return self._merge(base, level) if base else False
 
-    def compact_range(self, low=None, high=None) -> int:
-        """Push what overlaps [low, high] down level by level; returns how many merges ran."""
+    def compact_range(self, low=None, high=None, drop: Column | None = None) -> int:
+        """Push what overlaps [low, high] down level by level, about a file of input at a time; returns how many merges ran.
+
+        `drop` (a predicate on key and value) deletes the live rows that it names on the way, older versions
+        included; with it every level that holds the range is rewritten.
+        """
         merges = 0
-        for level in range(max((f["level"] for f in self.files()), default=0)):
-            shown = (lambda k: k.hex().upper()) if self.schema["key"].dataType.typeName() == "binary" else (lambda k: k)
-            meets = lambda f: (low is None or f["largest_key"] >= shown(low)) and (high is None or f["smallest_key"] <= shown(high))  # noqa: B023, E731
-            base = [f for f in self.files() if f["level"] == level and meets(f)]
-            merges += bool(base) and self._merge(base, level)
+        deepest = max((f["level"] for f in self._meeting(low, high)), default=0)
+        for level in range(deepest + 1 if drop is not None else max(deepest, 1)):
+            todo = {f["file_number"] for f in self._meeting(low, high, [level])}
+            while todo:
+                here = [f for f in self.files() if f["level"] == level and f["file_number"] in todo]
+                if not here:
+                    break
+                base = here if level == 0 else here[:1]
+                todo -= {f["file_number"] for f in base}
+                merges += self._merge(base, level, drop, manual=True)
         return merges
 
-    def _merge(self, base: list[dict], level: int) -> bool:
-        low, high = min(f["smallest_key"] for f in base), max(f["largest_key"] for f in base)
-        meets = lambda f: f["smallest_key"] <= high and f["largest_key"] >= low
-        parents = [f for f in self.files() if f["level"] == level + 1 and meets(f)]
-        if len(base) == 1 and not parents:  # a metadata edit moves it
-            self._commit(added=[base[0] | {"level": level + 1}], deleted=[base[0]["file_number"]])
-            return True
+    def _merge(self, base: list[dict], level: int, drop: Column | None = None, manual: bool = False) -> bool:
+        ends = [self._ends(f) for f in base]
+        low, high = min(a for a, _ in ends), max(b for _, b in ends)
+        table = self.files_table()
+        numbers = {f["file_number"] for f in base}
+        if level > 0 and not manual:  # base files may grow while no parent joins
+            numbers |= {r.file_number for r in planner.expand_inputs(table, level, low, high, self.limits).filter(F.col("level") == level).collect()}
+        base = [f for f in self.files() if f["level"] == level and f["file_number"] in numbers]
+        ends = [self._ends(f) for f in base]
+        low, high = min(a for a, _ in ends), max(b for _, b in ends)
+        to = min(level + 1, self.limits.levels - 1)
+        parents = self._meeting(low, high, [to]) if to > level else []
+        pointer = {str(level): _shown(high)}
         gone = [f["file_number"] for f in base + parents]
-        others = [f for f in self.files() if f["file_number"] not in gone]  # any of them may hold what a delete still hides
-        below = None
-        if others:
-            kind = self.schema["key"].dataType
-            ranges = self.spark.createDataFrame([(f["smallest_key"], f["largest_key"]) for f in others], ["smallest_key", "largest_key"])
-            typed = (lambda c: F.unhex(c)) if kind.typeName() == "binary" else (lambda c: F.col(c).cast(kind))
-            below = ranges.select(typed("smallest_key").alias("smallest_key"), typed("largest_key").alias("largest_key"))
-        added = self._write_run(compact(self._runs(base + parents), self.oldest_snapshot(), below), level + 1)
-        self._commit(added=[added] if added else [], deleted=gone, next_file_number=self._state["next_file_number"] + bool(added))
+        if not manual and len(base) == 1 and not parents and to > level and planner.trivial_moves(table, level, self.limits).filter(F.col("file_number") == base[0]["file_number"]).limit(1).count():
+            self._commit(added=[base[0] | {"level": to}], deleted=gone, pointers=pointer, work={"kind": "move", "level": to, "read": 0, "written": 0})
+            return True
+        below = table.filter(~F.col("file_number").isin(gone)) if len(gone) < len(self.files()) else None  # any of them may hold what a delete still hides
+        bound = min(self.oldest_snapshot(), self._state.get("sealed", self.last_sequence))
+        kept = compact(self._runs(base + parents), bound, below, drop)
+        single = all(f["largest_seq"] <= bound for f in base + parents)  # then one version of each key is left
+        size = sum(f["file_size"] for f in base + parents)
+        cuts = None
+        if any(f["level"] == level + 2 for f in self._meeting(low, high)):
+            cuts = planner.output_cuts(kept.select("key"), table, level, self.limits.grandparent_bytes)
+        added = [f | {"single": single} for f in self._write_run(kept, to, max(1, math.ceil(size / self.limits.file_bytes)), cuts)]
+        work = {"kind": "merge", "level": to, "read": size, "written": sum(f["file_size"] for f in added)}
+        self._commit(added=added, deleted=gone, pointers=pointer, next_file_number=self._state["next_file_number"] + len(added), work=work)
         return True
 
     # copies and repair
 
     def checkpoint(self, target: str) -> Store:
-        """A new store at `target` with the runs of the current version."""
+        """A new store at `target` with the files of the current version."""
         fs, _ = self._fs(self.spark, self.path)
         out, root = self._fs(self.spark, target)
         if out.exists(root):
             raise StoreError("the target exists")
         copy = self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy
         for f in self.files():
-            copy(fs, self._hadoop(self.spark, f"{self.path}/data/{f['dir']}"), out, self._hadoop(self.spark, f"{target}/data/{f['dir']}"), False, self.spark._jsc.hadoopConfiguration())
+            to = self._hadoop(self.spark, f"{target}/data/{f['dir']}/{f['file']}")
+            out.mkdirs(to.getParent())
+            copy(fs, self._hadoop(self.spark, f"{self.path}/data/{f['dir']}/{f['file']}"), out, to, False, self.spark._jsc.hadoopConfiguration())
         keep = {k: v for k, v in self._state.items() if k not in ("files", "edit_id")}
-        self._create(self.spark, f"{target}/manifest/{1:010d}.json", json.dumps({"edit_id": 1, **keep, "added": self.files(), "deleted": []}))
+        self._publish(self.spark, target, {"edit_id": 1, **keep, "added": self.files(), "deleted": []})
         return Store.open(self.spark, target, comparator=keep["comparator"])
 
     @classmethod
@@ -307,40 +510,30 @@ class Store:
         if fs.exists(old):
             fs.rename(old, cls._hadoop(spark, f"{path}/manifest-{uuid.uuid4().hex[:8]}"))
         types = StructType.fromDDL(schema)
-        state = {"comparator": comparator, "schema": types.jsonValue(), "codec": codec, "last_sequence": 0, "next_file_number": 1, "files": {}, "edit_id": 0}
+        state = {"comparator": comparator, "schema": types.jsonValue(), "codec": codec, "last_sequence": 0, "sealed": 0, "next_file_number": 1, "files": {}, "edit_id": 0}
         store, added = cls(spark, path, state), []
-        data = cls._hadoop(spark, f"{path}/data")
-        for status in fs.listStatus(data) if fs.exists(data) else []:
-            name = status.getPath().getName()
-            number = name.partition("-")[0]
+        for name in filter(_RUN.fullmatch, cls._names(spark, f"{path}/data")):
             try:
-                entry = store._describe(name, int(number), 0)
+                added += store._describe(name, 0, len(added) + 1)
             except Exception:  # not a readable run: left where it is
                 continue
-            if entry:
-                added.append(entry)
-        numbers = [f["file_number"] for f in added]
-        if len(set(numbers)) < len(numbers):  # runs of writers that lost a race: the commit cannot be known, so each keeps a number of its own
-            for k, f in enumerate(added):
-                f["file_number"] = k + 1
-        edit = {k: v for k, v in state.items() if k != "files"} | {"edit_id": 1, "added": added, "deleted": [], "next_file_number": max([0, *(f["file_number"] for f in added)]) + 1, "last_sequence": max([0, *(f["largest_seq"] for f in added)])}
-        cls._create(spark, f"{path}/manifest/{1:010d}.json", json.dumps(edit))
+        top = max([0, *(f["largest_seq"] for f in added)])
+        edit = {k: v for k, v in state.items() if k != "files"} | {"edit_id": 1, "added": added, "deleted": [], "next_file_number": len(added) + 1, "last_sequence": top, "sealed": top}
+        cls._publish(spark, path, edit)
         return cls.open(spark, path, comparator=comparator)
 
-    def collect_garbage(self, keep_versions: tuple[int, ...] = ()) -> list[int]:
-        """Delete run folders that neither the current version nor a kept one refers to."""
+    def collect_garbage(self, keep_versions: tuple[int, ...] = ()) -> list[str]:
+        """Delete run folders that neither the current version nor a kept one refers to, and files aside that were never published; returns the folders' names."""
         live = {f["dir"] for f in self.files()}
         for v in keep_versions:
             live |= {f["dir"] for f in self._fold(self.spark, self.path, v)["files"].values()}
-        fs, root = self._fs(self.spark, f"{self.path}/data")
+        fs, _ = self._fs(self.spark, self.path)
         gone = []
-        for status in fs.listStatus(root) if fs.exists(root) else []:
-            name = status.getPath().getName()
-            number = name.partition("-")[0]
-            if number.isdigit() and name not in live and int(number) < self._state["next_file_number"]:
-                fs.delete(status.getPath(), True)
-                gone.append(int(number))
-        return sorted(gone)
+        for name in self._names(self.spark, f"{self.path}/data"):
+            if _RUN.fullmatch(name) and name not in live and int(name.partition("-")[0]) < self._state["next_file_number"]:
+                fs.delete(self._hadoop(self.spark, f"{self.path}/data/{name}"), True)
+                gone.append(name)
+        return gone
 
     # introspection
 
@@ -351,11 +544,17 @@ class Store:
             levels.setdefault(f["level"], []).append(f["file_size"])
         return [(k, len(v), sum(v)) for k, v in sorted(levels.items())]
 
+    def statistics(self) -> DataFrame:
+        """Per kind of work (write, merge, move) and level: n, and bytes read and written, over the whole manifest."""
+        rows = [(w["kind"], w["level"], w["read"], w["written"]) for n in self._names(self.spark, f"{self.path}/manifest") if (m := _EDIT.fullmatch(n)) and not m[2] and (w := self._json(self.spark, f"{self.path}/manifest/{n}").get("work"))]
+        table = self.spark.createDataFrame(rows, "kind string, level int, read long, written long")
+        return table.groupBy("kind", "level").agg(F.count("*").alias("n"), F.sum("read").alias("read"), F.sum("written").alias("written"))
+
     def approximate_size(self, low, high) -> int:
         """Bytes of the files that lie in [low, high), half of those that straddle an end."""
         total = 0
         for f in self.files():
-            if f["largest_key"] < low or f["smallest_key"] >= high:
-                continue
-            total += f["file_size"] if f["smallest_key"] >= low and f["largest_key"] < high else f["file_size"] // 2
+            a, b = self._ends(f)
+            if b >= low and a < high:
+                total += f["file_size"] if a >= low and b < high else f["file_size"] // 2
         return total

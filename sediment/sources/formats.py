@@ -4,10 +4,14 @@
     spark.read.format("sst").load("/path/to/tables")
 
 Options: path (a file, or a folder whose files of the right kind are read; any URI that pyarrow
-knows), mode (PERMISSIVE: rows of problems are kept with `problem` set; DROPMALFORMED: left out;
-FAILFAST: raise; default PERMISSIVE), codecs (google or mojang) for tables. Each file is one
+knows, see `located` for paths without a scheme), files (numbers, comma-separated: only these of a
+folder), mode (PERMISSIVE: rows of problems are kept with `problem` set; DROPMALFORMED: left out;
+FAILFAST: raise; TOLERATE_TAIL: a log that ends inside its last record is fine, anything else raises; default
+PERMISSIVE), codecs (google or mojang, or id=name pairs) and verify (false: block checksums are not checked) for tables. Each file is one
 partition. Predicates on `key` reach the table reader if
 spark.sql.python.filterPushdown.enabled is on, and prune blocks.
+
+`read_database` opens a whole database folder as one change log, `write_database` makes one.
 """
 
 from __future__ import annotations
@@ -28,6 +32,13 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 
+def located(spark, path: str) -> str:
+    """`path` with its scheme: one without belongs to the session's default file system, as for Spark's own readers."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def list_files(path: str, kind: str) -> list[str]:
     """Database files of a kind at `path`, by number."""
     from pyarrow import fs
@@ -49,10 +60,14 @@ class _Reader(DataSourceReader):
 
     def __init__(self, options):
         self.path, self.mode = options["path"], options.get("mode", "PERMISSIVE").upper()
-        self.codecs = codec.MOJANG_CODECS if options.get("codecs", "google") == "mojang" else codec.GOOGLE_CODECS
+        named = options.get("codecs", "google")
+        sets = {"google": codec.GOOGLE_CODECS, "mojang": codec.MOJANG_CODECS}
+        self.codecs = sets[named] if named in sets else {0: "none"} | {int(k): v for k, v in (x.split("=") for x in named.split(","))}
+        self.verify = options.get("verify", "true").lower() != "false"
+        self.numbers = None if options.get("files") is None else {int(n) for n in options["files"].split(",") if n}
 
     def partitions(self):
-        return [FilePart(p) for p in list_files(self.path, self.kind)]
+        return [FilePart(p) for p in list_files(self.path, self.kind) if self.numbers is None or codec.parse_name(p.rpartition("/")[2])[1] in self.numbers]
 
     def data(self, part: FilePart) -> bytes:
         system, root = _open(part.path)
@@ -60,8 +75,9 @@ class _Reader(DataSourceReader):
             return f.read()
 
     def trouble(self, row: tuple):
-        if self.mode == "FAILFAST":
-            raise codec.Corrupt(str(row[-1]))
+        """What a problem becomes; its text ends a row. A cut record can only be the last of a log."""
+        if self.mode == "FAILFAST" or self.mode == "TOLERATE_TAIL" and not str(row[-1]).startswith("truncated"):
+            raise codec.Corrupt(f"{row[0]}: {row[-1]}")
         return [row] if self.mode == "PERMISSIVE" else []
 
 
@@ -84,7 +100,7 @@ class SstReader(_Reader):
     def read(self, part):
         name = part.path.rpartition("/")[2]
         try:
-            for key, seq, kind, value in codec.Table(self.data(part), self.codecs).entries(self.low, self.high):
+            for key, seq, kind, value in codec.Table(self.data(part), self.codecs, self.verify).entries(self.low, self.high):
                 yield name, key, seq, kind, value, None
         except codec.Corrupt as e:
             yield from self.trouble((name, None, None, None, None, str(e)))
@@ -171,22 +187,187 @@ def register(spark) -> None:
         spark.dataSource.register(source)
 
 
-def write_sst(log, folder: str, codec_name: str = "snappy", start: int = 1):
-    """Write a change log (binary key and value) as one table file per range of keys; returns (file, n_entries)."""
+def load(spark, kind: str, path: str, **options):
+    """The rows of a source, with `path` resolved like those of Spark's own readers."""
+    register(spark)
+    return spark.read.format(kind).options(**options).load(located(spark, path))
+
+
+TABLE_BYTES = 32 << 20  # entries of one written table, about
+
+
+def write_sst(log, folder: str, codec_name: str = "snappy", start: int = 1, table_bytes: int = TABLE_BYTES, codecs: dict[int, str] = codec.GOOGLE_CODECS):
+    """Write a change log (binary key and value) as table files of disjoint key ranges; returns their rows (file_number, file_size, n_entries, smallest_key, largest_key), keys with tags.
+
+    A task cuts its range into tables of about `table_bytes`, never inside a user key, and writes them aside under names of
+    its own; the driver then numbers the tables that successful tasks report, in key order. A retried task leaves
+    files that nobody reports, and they are deleted.
+    """
+    import uuid
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    spark = log.sparkSession
+    folder = located(spark, folder)
+    aside = f"{folder}/aside-{uuid.uuid4().hex}"
+    names = ["name", "file_size", "n_entries", "smallest_key", "largest_key"]
+
+    def run(batches):
+        system, root = _open(aside)
+        system.create_dir(root, recursive=True)
+        held, size = [], 0
+
+        def close():
+            name = uuid.uuid4().hex
+            data = codec.table_write(held, codec=codec_name, codecs=codecs)
+            with system.open_output_stream(f"{root}/{name}") as out:
+                out.write(data)
+            ends = [codec.internal_key(*held[k][:3]) for k in (0, -1)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in ([name], [len(data)], [len(held)], ends[:1], ends[1:])], names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= table_bytes and row[0] != held[-1][0]:
+                    yield close()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[0]) + len(row[3] or b"") + 8
+        if held:
+            yield close()
+
+    dealt = log.select("key", "seq", F.col("kind").cast("int").alias("kind"), "value").repartitionByRange("key").sortWithinPartitions("key", F.desc("seq"), F.desc("kind"))
+    found = dealt.mapInArrow(run, "name string, file_size long, n_entries long, smallest_key binary, largest_key binary").collect()  # one row a table
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for k, r in enumerate(sorted(found, key=lambda r: bytes(r.smallest_key[:-8]))):
+        fs.rename(path(f"{aside}/{r.name}"), path(f"{folder}/{codec.format_name('table', start + k)}"))
+        rows.append((start + k, r.file_size, r.n_entries, r.smallest_key, r.largest_key))
+    fs.delete(path(aside), True)
+    return spark.createDataFrame(rows, "file_number long, file_size long, n_entries long, smallest_key binary, largest_key binary")
+
+
+def put_file(spark, path: str, data: bytes) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def read_bytes(spark, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).first().content)
+
+
+COMPARATOR = "leveldb.BytewiseComparator"
+
+
+def write_wal(log, folder: str, start: int = 1, records: int = 1000):
+    """Write changes with consecutive sequence numbers as log files, one a range of numbers, batches of up to `records` changes; returns (file_number, n_changes)."""
+    import uuid
+
     import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    spark = log.sparkSession
+    folder = located(spark, folder)
+    aside = f"{folder}/aside-{uuid.uuid4().hex}"
 
     def run(batches):
-        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        rows = []
+        for batch in batches:
+            rows += zip(*(c.to_pylist() for c in batch.columns))  # a range of one log file
         if not rows:
             return
-        system, root = _open(folder)
+        system, root = _open(aside)
         system.create_dir(root, recursive=True)
-        name = codec.format_name("table", start + rows[0][4])
-        with system.open_output_stream(f"{root}/{name}") as out:
-            out.write(codec.table_write([r[:4] for r in rows], codec=codec_name))
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)])], ["file", "n_entries"])
+        name = uuid.uuid4().hex
+        cuts, out = [0], []
+        for k in range(1, len(rows) + 1):
+            if k == len(rows) or k - cuts[-1] == records or rows[k][1] != rows[k - 1][1] + 1:
+                out.append(codec.batch_encode(rows[cuts[-1]][1], [(kind, key, value) for key, _, kind, value in rows[cuts[-1] : k]]))
+                cuts.append(k)
+        with system.open_output_stream(f"{root}/{name}") as f:
+            f.write(codec.log_write(out))
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows[0][1]]), pa.array([len(rows)])], ["name", "first", "n_changes"])
+
+    dealt = log.select("key", "seq", F.col("kind").cast("int").alias("kind"), "value").repartitionByRange("seq").sortWithinPartitions("seq")
+    found = sorted(dealt.mapInArrow(run, "name string, first long, n_changes long").collect(), key=lambda r: r.first)  # one row a file
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, r in enumerate(found):
+        fs.rename(path(f"{aside}/{r.name}"), path(f"{folder}/{codec.format_name('log', start + k)}"))
+    fs.delete(path(aside), True)
+    return spark.createDataFrame([(start + k, r.n_changes) for k, r in enumerate(found)], "file_number long, n_changes long")
+
+
+def write_manifest(edits, folder: str, number: int = 2) -> None:
+    """Write edits (the columns of the manifest source, some may be absent) as one manifest log, in order of edit_id. Records are encoded by tasks and stream through the driver, as one file has one writer."""
+    import pyarrow as pa
 
+    spark = edits.sparkSession
+    names = [c for c in edits.columns if c not in ("file", "problem")]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                edit = dict(row)
+                if edit.get("comparator") is not None:
+                    edit["comparator"] = edit["comparator"].encode()
+                for name, fields in (("compaction_pointers", ("level", "key")), ("deleted", ("level", "file_number")), ("added", ("level", "file_number", "file_size", "smallest_key", "largest_key"))):
+                    edit[name] = [tuple(x[f] for f in fields) for x in edit.get(name) or []]
+                out.append((row["edit_id"], codec.edit_encode(edit)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["edit_id", "record"])
+
+    encoded = edits.select(*names).mapInArrow(run, "edit_id long, record binary").orderBy("edit_id")
+    put_file(spark, f"{located(spark, folder)}/{codec.format_name('MANIFEST', number)}", codec.log_write([bytes(r.record) for r in encoded.toLocalIterator()]))
+
+
+def write_database(flushed, recent, folder: str, level: int = 1, codec_name: str = "snappy", comparator: str = COMPARATOR) -> None:
+    """Make a database folder: `flushed` changes as tables of a level, `recent` ones as logs, a manifest and CURRENT."""
+    spark = flushed.sparkSession
+    tables = write_sst(flushed, folder, codec_name, start=4)
+    listed = tables.collect()  # one row a table, as in the manifest
+    logs = write_wal(recent, folder, start=4 + len(listed))
+    n_logs = logs.count()
+    last = max(flushed.agg({"seq": "max"}).first()[0] or 0, 0)
+    first = {"comparator": comparator.encode(), "log_number": 0, "next_file_number": 3, "last_sequence": 0}
+    rest = {"log_number": 4 + len(listed), "next_file_number": 4 + len(listed) + n_logs, "last_sequence": last, "added": [(level, r.file_number, r.file_size, bytes(r.smallest_key), bytes(r.largest_key)) for r in listed]}
+    put_file(spark, f"{folder}/{codec.format_name('MANIFEST', 2)}", codec.log_write([codec.edit_encode(first), codec.edit_encode(rest)]))
+    put_file(spark, f"{folder}/CURRENT", b"MANIFEST-000002\n")
+
+
+def read_database(spark, folder: str, comparator: str = COMPARATOR, tail: str = "TOLERATE_TAIL", **options):
+    """All changes (key, seq, kind, value) of a database folder: CURRENT names the manifest, its edits fold to the live tables and the logs to replay.
+
+    Logs count if their number is at least the manifest's log number, or is its previous log number. A missing counter,
+    another comparator and a missing table are errors; `tail` is the mode for logs, whose last record may have been cut by a crash.
+    """
     from pyspark.sql import functions as F
 
-    ranges = log.select("key", "seq", F.col("kind").cast("int").alias("kind"), "value").repartitionByRange("key").withColumn("part", F.spark_partition_id())
-    return ranges.sortWithinPartitions("key", F.desc("seq"), F.desc("kind")).mapInArrow(run, "file string, n_entries long")
+    from sediment.plans import manifest
+
+    register(spark)
+    folder = located(spark, folder)
+    name = read_bytes(spark, f"{folder}/CURRENT").decode("ascii", "replace")
+    if not name.endswith("\n") or (codec.parse_name(name[:-1]) or ("",))[0] != "MANIFEST":
+        raise codec.Corrupt("CURRENT names no manifest")
+    edits = spark.read.format("manifest").option("mode", "FAILFAST").load(f"{folder}/{name[:-1]}")
+    counters = manifest.fold_counters(edits).first()
+    lacking = [c for c in ("log_number", "next_file_number", "last_sequence") if counters[c] is None]
+    if lacking:
+        raise codec.Corrupt(f"the manifest lacks {', '.join(lacking)}")
+    if counters.comparator != comparator:
+        raise codec.Corrupt(f"the database's comparator is {counters.comparator}")
+    live = {r.file_number for r in manifest.live_files(edits).select("file_number").collect()}  # one row a file
+    there = {codec.parse_name(p.rpartition("/")[2])[1] for p in list_files(folder, "table")}
+    if live - there:
+        raise codec.Corrupt(f"missing tables {sorted(live - there)}")
+    logs = [n for p in list_files(folder, "log") if (n := codec.parse_name(p.rpartition("/")[2])[1]) >= counters.log_number or n == (counters.prev_log_number or -1)]
+    columns = ["key", "seq", F.col("kind").cast("tinyint").alias("kind"), "value"]
+    out = spark.read.format("sst").options(**{"mode": "FAILFAST", **options}, files=",".join(map(str, sorted(live)))).load(folder).select(*columns)
+    if logs:
+        out = out.unionByName(spark.read.format("wal").options(mode=tail, files=",".join(map(str, logs))).load(folder).select(*columns))
+    return out

@@ -1,6 +1,11 @@
-"""Change streams: micro-batches of operations applied to a store, and a running latest state.
+"""Change streams: micro-batches of changes or operations applied to a store, and a running latest state.
 
-Sequence order, not arrival order, decides what is live, so late rows need no watermark.
+Where rows bring their own sequence numbers (`apply_log_stream`), these decide what is live, not the order
+of arrival, so late rows need no watermark. Where they bring only an order inside a micro-batch
+(`apply_stream`), the store numbers them as they arrive.
+
+The store's manifest is the commit point and holds the last micro-batch of each source: one that is replayed after a failure
+between commit and checkpoint is recognised and skipped.
 """
 
 from __future__ import annotations
@@ -12,19 +17,35 @@ from pyspark.sql.streaming import StreamingQuery
 from sediment.plans.store import Store
 
 
-def apply_stream(ops: DataFrame, store: Store, checkpoint: str, compact: bool = True) -> StreamingQuery:
-    """Write each micro-batch of (batch, ordinal, kind, key, value) as one atomic run; compact when a level is due.
+def _run(rows: DataFrame, checkpoint: str, each) -> StreamingQuery:
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def apply_stream(ops: DataFrame, store: Store, checkpoint: str, compact: bool = True, source: str = "stream") -> StreamingQuery:
+    """Write each micro-batch of (batch, ordinal, kind, key, value) as one atomic run under new sequence numbers; compact when a level is due."""
+
+    def each(rows: DataFrame, batch_id: int) -> None:
+        store.write(rows, source, batch_id)
+        while compact and store.compact():
+            pass
+
+    return _run(ops, checkpoint, each)
+
+
+def apply_log_stream(changes: DataFrame, store: Store, checkpoint: str, compact: bool = True, source: str = "stream", lateness: int | None = None) -> StreamingQuery:
+    """Write each micro-batch of (key, seq, kind, value) as one atomic run under the rows' own numbers.
 
-    The store's manifest is the commit point. A micro-batch that is replayed after a failure between
-    commit and checkpoint is written again under newer numbers, which leaves the live state the same.
+    `lateness`: how far behind the largest number seen a change may still come; compaction forgets nothing above that
+    line. Without it compaction forgets no delete and no version that a late row could meet.
     """
 
-    def each(rows: DataFrame, _: int) -> None:
-        store.write(rows)
+    def each(rows: DataFrame, batch_id: int) -> None:
+        sealed = None if lateness is None else max(0, store.last_sequence - lateness)
+        store.write_log(rows, source, batch_id, sealed)
         while compact and store.compact():
             pass
 
-    return ops.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _run(changes, checkpoint, each)
 
 
 def latest_stream(log: DataFrame) -> DataFrame:
