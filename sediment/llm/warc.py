@@ -3,7 +3,8 @@
 The writer emits WARC/1.1 records, one gzip member each (or plain), into archives of bounded size
 in the shared folder; a task names its files afresh, and only files that a successful task lists
 in the manifest table are read. The reader streams an archive and checks every record: gzip
-integrity, version line, header block, Content-Length, trailer and payload digest. After a failed
+integrity, version line, header block, Content-Length, trailer and payload digest (hex or base32, where there is one; of an HTTP
+record the payload is what follows the HTTP headers). After a failed
 check it searches for the next valid member or version line, goes on from there and logs the byte
 gap as quarantined, so one bad record costs that record alone.
 
@@ -17,7 +18,9 @@ give one record each; an empty table gives no archive; other columns are ignored
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -157,34 +160,69 @@ def _headers(head: bytes) -> dict[str, str]:
     lines = head.split(b"\r\n")
     if not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
         raise Bad("version line")
-    out = {}
+    out, name = {}, None
     for line in lines[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon or not name or b" " in name:
+        if name and line[:1] in (b" ", b"\t"):  # a folded line goes on
+            out[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        field, colon, value = line.partition(b":")
+        if not colon or not field or b" " in field:
             raise Bad("header line")
-        out[name.decode("ascii", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        name = field.decode("ascii", "replace").lower()
+        out[name] = value.strip().decode("utf-8", "replace")
     return out
 
 
+def _digest(text: str) -> tuple[str | None, str | None]:
+    """(kind, lower-case hex) of a digest field in hex or base32; (None, None) for one that can't be checked here."""
+    kind, _, value = text.partition(":")
+    kind = kind.lower().replace("-", "")
+    size = {"sha1": 20, "sha256": 32, "md5": 16}.get(kind)
+    if size is None:
+        return None, None
+    if len(value) == 2 * size and re.fullmatch("[0-9A-Fa-f]+", value):
+        return kind, value.lower()
+    try:
+        raw = base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        raw = b""
+    return kind, raw.hex() if len(raw) == size else ""
+
+
 def _checked(head: dict[str, str], block: bytes) -> tuple:
-    kind, digest = head.get("warc-type", ""), head.get("warc-payload-digest", "").removeprefix("sha1:")
+    kind = head.get("warc-type", "")
+    payload = block
+    if head.get("content-type", "").lower().startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]
     try:
         page = int(head["x-page-id"]) if "x-page-id" in head else None
-        size = int(head.get("x-payload-length", len(block)))
-        refers = int(head["x-refers-to-page-id"]) if kind == "revisit" else None
-    except (KeyError, ValueError):
+        size = int(head.get("x-payload-length", len(payload)))
+        refers = int(head["x-refers-to-page-id"]) if kind == "revisit" and "x-refers-to-page-id" in head else None
+    except ValueError:
         raise Bad("header value") from None
-    if kind == "response" and (len(block) != size or hashlib.sha1(block).hexdigest() != digest):
-        raise Bad("payload digest")
-    return page, kind, size, digest, refers, block
+    method, digest = _digest(head.get("warc-payload-digest", ""))
+    if kind != "revisit":
+        if len(payload) != size:
+            raise Bad("payload length")
+        if method and hashlib.new(method, payload).hexdigest() != digest:
+            raise Bad("payload digest")
+        digest = digest if method == "sha1" else hashlib.sha1(payload).hexdigest()
+    return page, kind, size, digest, refers, payload
 
 
 def _plain_record(source: _Source) -> tuple[tuple, int]:
-    """(record, its length) at the window's start."""
-    n = 4096
+    """(record, its length) at the window's start. A header block may be as long as it likes, but what isn't one is given up at its first bad line."""
+    n, checked = 4096, 0
     source.want(n)
-    while (end := source.find(b"\r\n\r\n")) < 0:
-        if source.ended or n > 1 << 20:
+    while (end := source.find(b"\r\n\r\n", max(0, checked - 4))) < 0:
+        known = source.cut(0, source.size).rfind(b"\r\n", checked)
+        if known >= 0:
+            lines = source.cut(checked, known)
+            _headers(lines if not checked else b"WARC/1.1\r\nx: x\r\n" + lines)
+            checked = known + 2
+        elif not checked and source.cut(0, len(VERSION)) != VERSION:
+            raise Bad("version line")
+        if source.ended:
             raise Bad("header block")
         n *= 2
         source.want(n)
@@ -287,11 +325,22 @@ def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(zip(*rows), kinds))[:k]], names[:k])
 
 
+def split_quarantine(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, gaps) of what `read_archives` gives, both from one written table; gaps are logged and counted, never lost."""
+    whole = stage(read, "warc-read")
+    gaps = whole.filter("record_type = 'quarantined'").select("path", F.col("offset").alias("start"), "stop", "reason")
+    n, size = gaps.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    if n:
+        logging.getLogger(__name__).warning("%d byte gaps of %d bytes are quarantined in %s", n, size, whole.staged_path)
+    return whole.filter("record_type <> 'quarantined'"), gaps
+
+
 def op3_warc_salvage(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     manifest = write_archives(decide_revisits(pages))
     paths = manifest.select("path").repartition(partitions(spark), "path")
-    return read_archives(paths).filter("record_type <> 'quarantined'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records, _ = split_quarantine(read_archives(paths))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP3_SQL = """
