@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sediment.llm.staging import drop, stage
 
-MAX_FILTER_BYTES = 64 << 20  # of all levels together; a list beyond it is refused, never cut
+MAX_FILTER_BYTES = 16 << 20  # of all levels together, about ten million listed keys among a billion; a list beyond it is refused, never cut
 MAX_LEVELS = 64
 
 #: (action, host, path): the longest rule that fits decides.
@@ -35,7 +35,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Host labels with one of these hyphen-separated parts put the host on the block list.
+#: Host labels with one of these hyphen-separated parts put the host on the default block list.
 BLOCKED_PARTS = ("adult", "bets", "betting", "casino", "payday", "pills", "poker", "porn", "viagra", "xxx")
 
 
@@ -78,12 +78,9 @@ def _positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
 
 
 def _accepts(level: Level, key: Column) -> Column:
+    """The level's words stand once in the plan, as one constant array that every position looks into."""
     words = F.split(F.lit(level.words), ",").cast("array<bigint>")
-    out = F.lit(True)
-    for at in _positions(key, level.bits, level.hashes, level.seed):
-        word = F.get(words, F.shiftright(at, 6).cast("int"))
-        out = out & (F.bit_get(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
-    return out
+    return F.forall(F.array(*_positions(key, level.bits, level.hashes, level.seed)), lambda at: F.bit_get(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1)
 
 
 class BloomCascade:
@@ -134,37 +131,45 @@ class BloomCascade:
         return cls(levels)
 
 
-def _universe(pages: DataFrame, keys: Column, listed: Column) -> DataFrame:
-    """The distinct keys of all pages, staged; hot hosts shrink before the shuffle."""
-    return stage(pages.select(F.explode(keys).alias("key")).distinct().withColumn("listed", listed), "url-keys")
+def _universe(pages: DataFrame, keys: Column, listed: DataFrame) -> DataFrame:
+    """The distinct keys of all pages with whether the list (key) has them, staged; hot hosts shrink before the shuffle. The list meets the keys here, once, by a join; pages never do."""
+    known = pages.select(F.explode(keys).alias("key")).distinct()
+    marked = known.join(listed.select("key").distinct().withColumn("_in", F.lit(True)), "key", "left")
+    return stage(marked.select("key", F.coalesce("_in", F.lit(False)).alias("listed")), "url-keys")
 
 
-def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, blocked_parts=BLOCKED_PARTS) -> DataFrame:
-    """`pages` with _host, _path, _rule and _verdict.
+def hosts_with_parts(pages: DataFrame, url: str = "url", parts=BLOCKED_PARTS) -> DataFrame:
+    """A block list (host): every host or parent domain in the corpus whose first label has one of the hyphen-separated parts."""
+    hosts = pages.select(F.explode(host_suffixes(host_of(F.col(url)))).alias("host")).distinct()
+    pattern = "(^|-)(" + "|".join(parts) + ")(-|$)"
+    return hosts.filter(F.split("host", r"\.", -1)[0].rlike(pattern)) if parts else hosts.limit(0)
 
-    A rule's verdict stands; else a host is blocked if it or a parent domain is on the block list,
-    which holds every host or parent in the corpus whose first label has a blocked part.
+
+def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, blocked_hosts: DataFrame | None = None) -> DataFrame:
+    """`pages` with _host, _path, _rule and _verdict (columns of those names are replaced).
+
+    rules: (action, host, path) triples or a table of them; blocked_hosts: a table (host), by default `hosts_with_parts`. A rule's verdict
+    stands; else a page is blocked if its host or a parent domain is listed.
     """
-    parsed = pages.withColumn("_host", host_of(F.col(url))).withColumn("_path", path_of(F.col(url)))
-    lengths = sorted({len(r[2]) for r in rules})
-    rule_keys = candidate_keys(F.col("_host"), F.col("_path"), lengths)
-    cascades, used = {}, []
-    for action in ("allow", "block"):
-        listed = [h + p for a, h, p in rules if a == action]
-        table = _universe(parsed, rule_keys, F.col("key").isin(listed) if listed else F.lit(False))
-        cascades[action] = BloomCascade.build(table)
-        used.append(table)
-    pattern = "(^|-)(" + "|".join(blocked_parts) + ")(-|$)"
-    hosts = _universe(parsed, host_suffixes(F.col("_host")), F.split("key", r"\.", -1)[0].rlike(pattern) if blocked_parts else F.lit(False))
-    cascades["host"] = BloomCascade.build(hosts)
-    drop(*used, hosts)
-    first = lambda c: F.get(F.filter(F.col("_keys"), c.contains), F.lit(0))
-    judged = parsed.withColumn("_keys", rule_keys).withColumn("_allow", first(cascades["allow"])).withColumn("_block", first(cascades["block"]))
-    allow_wins = F.col("_allow").isNotNull() & (F.col("_block").isNull() | (F.length("_allow") > F.length("_block")))
+    spark = pages.sparkSession
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "action string, host string, path string")
+    listed = table.select("action", F.concat("host", "path").alias("key"), F.length("path").alias("n"))
+    blocked_hosts = hosts_with_parts(pages, url) if blocked_hosts is None else blocked_hosts
+    parsed = pages.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
+    lengths = sorted(r.n for r in listed.select("n").distinct().collect())  # at most as many as a url has characters
+    rule_keys = candidate_keys(F.col("_host"), F.col("_path"), lengths) if lengths else F.array().cast("array<string>")
+    tables = {action: _universe(parsed, rule_keys, listed.filter(F.col("action") == action)) for action in ("allow", "block")}
+    tables["host"] = _universe(parsed, host_suffixes(F.col("_host")), blocked_hosts.select(F.col("host").alias("key")))
+    cascades = {name: BloomCascade.build(keys) for name, keys in tables.items()}
+    drop(*tables.values())
+    first = lambda c: F.get(F.filter(rule_keys, c.contains), F.lit(0))
+    allow, block = first(cascades["allow"]), first(cascades["block"])
+    judged = parsed.withColumn("_rule", F.struct(allow.alias("allow"), block.alias("block")))
+    allow, block = F.col("_rule.allow"), F.col("_rule.block")
+    allow_wins = allow.isNotNull() & (block.isNull() | (F.length(allow) > F.length(block)))
     bad_host = F.exists(host_suffixes(F.col("_host")), cascades["host"].contains)
-    return judged.withColumn("_rule", F.when(allow_wins, F.col("_allow")).otherwise(F.col("_block"))).withColumn(
-        "_verdict", F.when(allow_wins, "allow").when(F.col("_block").isNotNull() | bad_host, "block").otherwise("allow")
-    ).drop("_keys", "_allow", "_block")
+    verdict = F.when(allow_wins, "allow").when(block.isNotNull() | bad_host, "block").otherwise("allow")
+    return judged.withColumns({"_rule": F.when(allow_wins, allow).otherwise(block), "_verdict": verdict})
 
 
 def op1_bloom_cascade_urls(spark, sf_dir: str) -> DataFrame:
