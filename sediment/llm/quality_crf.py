@@ -8,7 +8,8 @@ into a probability by a logistic curve fitted on the same bounded sample.
 
 Nulls and edges: a null or empty text, or one of white space, has no line and scores EMPTY; null
 ids and repeated rows are scored like others; without any labelled row every text scores 0.5;
-empty tables give empty results. Labels, language, source and id are no inputs of a score.
+empty tables give empty results. Labels, language, source and id are no inputs of a score. A
+column named `score` of the input is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from sediment.llm.labelled import fold, labelled_sample
 
 SAMPLE = 4_000  # labelled documents that the field is fitted on
-TRAIN_LINES = 2_000  # documents with more lines are left out of the fit (never of scoring)
+CHAIN = 64  # lines: a training text of more is cut into chains of so many, scoring always takes whole texts
+CHAINS = 8_000  # chains that the field is fitted on, chosen by hash: at most CHAIN * CHAINS lines reach the driver
 FOLDS, HELD_OUT = 5, 0
 EMPTY = 0.05
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -183,12 +185,14 @@ def train(sample: DataFrame) -> QualityModel | None:
             rows = []
             for doc_id, text, label in zip(*(c.to_pylist() for c in batch.columns)):
                 x, length = line_features(text or "")
-                if 0 < len(x) <= TRAIN_LINES:
-                    rows.append((doc_id, label, x.tobytes(), length.tobytes()))
+                rows += [(doc_id, k, label, x[k : k + CHAIN].tobytes(), length[k : k + CHAIN].tobytes()) for k in range(0, len(x), CHAIN)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["doc_id", "label", "x", "length"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "line", "label", "x", "length"])
 
-    table = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary, length binary").toArrow().sort_by("doc_id")
+    chains = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, line long, label int, x binary, length binary")
+    some = chains.orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line").limit(CHAINS)
+    table = some.toArrow().sort_by([("doc_id", "ascending"), ("line", "ascending")])
     if not table.num_rows:
         return None
     own = [np.frombuffer(b, np.float32).reshape(-1, N_OWN) for b in table.column("x").to_pylist()]
@@ -211,6 +215,7 @@ def train(sample: DataFrame) -> QualityModel | None:
 def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """`docs` with score: the probability of quality label 1."""
     model = train(labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, limit))
+    docs = docs.drop("score")
     if model is None:
         return docs.withColumn("score", F.lit(0.5))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
