@@ -37,6 +37,7 @@ TABLES = 2
 SUCCESS = 0.78  # of each table
 SAMPLE = 4096  # rows on which slot width and expected distance are fitted
 BUCKET_ROWS = 128
+PART_ROWS = 200_000  # index entries of a part
 SEED = 7
 
 
@@ -50,7 +51,7 @@ class PStableHash:
     def __init__(self, sample: np.ndarray, n: int, k: int, tables: int = TABLES, seed: int = SEED):
         """sample: original vectors; n: rows to index; k: neighbours wanted."""
         self.scale = 1.0  # set by the caller to the largest norm
-        self.hashes = 0 if n <= 2 * BUCKET_ROWS else max(1, round(math.log(n / BUCKET_ROWS) / math.log(4.5)))
+        self.hashes = max(1, round(math.log(max(n, BUCKET_ROWS) / BUCKET_ROWS) / math.log(4.5)))
         rng = np.random.default_rng(seed)
         width = sample.shape[1] + 1
         self.axes = rng.standard_normal((tables, width, self.hashes))
@@ -62,8 +63,7 @@ class PStableHash:
     def fit(self, sample: np.ndarray, scale: float) -> PStableHash:
         self.scale = scale
         lifted = self.lift(sample)
-        if self.hashes:
-            self.slot = 1.5 * max(1e-9, float(np.std(lifted @ self.axes[0], axis=0).mean()))
+        self.slot = 1.5 * max(1e-9, float(np.std(lifted @ self.axes[0], axis=0).mean()))
         asks = self.lift_query(sample[:64])
         near = np.sort(2 - 2 * asks @ lifted.T, axis=None)
         rank = min(len(near) - 1, len(asks) + int(len(near) * self.k / max(self.n, 1)))  # each sampled query meets itself
@@ -102,8 +102,6 @@ class PStableHash:
             home = math.floor(x)
             slots = range(home - reach, home + reach + 1)
             ladders.append(sorted(((_gauss_cdf((s + 1 - x) / spread) - _gauss_cdf((s - x) / spread), s) for s in slots), reverse=True))
-        if not ladders:
-            return self.code(table, np.zeros((1, 0)))
         first = (0,) * len(ladders)
         heap = [(-math.prod(lad[0][0] for lad in ladders), first, 0)]
         out, held = [], 0.0
@@ -155,7 +153,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = np.array([r.v for r in entries.orderBy(F.xxhash64("ids")).limit(SAMPLE).select("v").collect()])
     hasher = PStableHash(sample, n, k, tables).fit(sample, scale)
-    n_parts = partitions(spark)
+    n_parts = max(partitions(spark), -(-n * tables // PART_ROWS))  # a worker holds a part
 
     def index(batches):
         for batch in batches:
