@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from sediment.llm.staging import stage
 
-CACHE_CHUNKS = 1_200_000  # distinct text chunks whose ids a worker keeps; the cache starts anew beyond it
+CACHE_CHUNKS = 800_000  # distinct text chunks whose ids a worker keeps; the cache starts anew beyond it
 GROUP_PIECES = 20_000  # pieces packed together: a group wastes at most about one bin in several thousand
 _MARKS = ".,;:!?&%$#*|()[]{}/+=-_\""  # that may follow a word within a chunk and never join its letters
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -10,14 +10,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sediment.llm import queries
+from sediment.llm import quality_rules, queries, secret_scan
 from sediment.llm.ann_search import nearest
-from sediment.llm.mixing import mix_documents, rake
+from sediment.llm.mixing import keep_probabilities, marginals, mix_documents, rake
 from sediment.llm.packing import best_fit, fill_sequences, pack_pieces, tokenize_pieces
 from sediment.llm.quality_crf import LineField, quality_scores
 from sediment.llm.quality_rules import quality_cascade
-from sediment.llm.secret_scan import find_spans, guess_bits, redact_secrets, redact_text, scan_secrets
-from sediment.llm.toxicity import toxicity_scores
+from sediment.llm.secret_scan import find_spans, guess_bits, ranked_words, redact_secrets, redact_text, scan_secrets
+from sediment.llm.toxicity import LabelModel, toxicity_scores
 from sediment.llm.url_filter import filter_urls
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +53,18 @@ def test_urls(spark):
     assert filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_lists_as_tables(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k}.x{k % 7}.com/a/{k}", "r", "v") for k in range(400)], "page_id long, url string, _rule string, _verdict string")
+    rules = spark.createDataFrame([("block", f"x{k}.com", "/a/") for k in range(3)] + [("allow", f"h{k}.x{k % 7}.com", f"/a/{k}") for k in range(0, 400, 9)], "action string, host string, path string")
+    hosts = spark.createDataFrame([("x5.com",), ("h4.x4.com",), ("h4.x4.com",), ("elsewhere.org",)], "host string")
+    got = {r.page_id: (r._rule, r._verdict) for r in filter_urls(pages, rules=rules, blocked_hosts=hosts).collect()}
+    for k in range(400):
+        rule = f"h{k}.x{k % 7}.com/a/{k}" if k % 9 == 0 else f"x{k % 7}.com/a/" if k % 7 < 3 else None
+        bad = k % 9 and (k % 7 < 3 or k % 7 == 5 or k == 4)
+        assert got[k] == (rule, "block" if bad else "allow"), k
+    assert {r._verdict for r in filter_urls(pages, rules=[], blocked_hosts=hosts.limit(0)).collect()} == {"allow"}
+
+
 def test_secret_spans():
     text = 'pässword: "abc" Password = hunter2x! token=short secret:token = abcdefgh AKIA' + "A" * 16 + " " + "0f" * 12
     kinds = [(a, k, text[a:b]) for a, k, b, _ in find_spans(text)]
@@ -84,6 +96,45 @@ def test_guess_cost_is_a_minimum():
     assert guess_bits("k7" * 50_000) > 1000
 
 
+def brute_guess_bits(value, rank):
+    """The least cost over all segmentations, by trying every stretch as every kind of segment."""
+    n, low = len(value), value.lower()
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        for i in range(j):
+            part, costs = value[i:j], [secret_scan.PART + sum(map(secret_scan._brute_bits, value[i:j])), secret_scan.word_bits(value[i:j], rank) if 3 <= j - i <= secret_scan.LONGEST else math.inf]
+            if secret_scan.DATE.fullmatch(part):
+                costs.append(secret_scan.date_bits(j - i))
+            if j - i >= 3 and len(set(low[i:j])) == 1:
+                costs.append(secret_scan.repeat_bits(value[i], j - i))
+            ways = [secret_scan._walk_step(low, k) for k in range(i + 1, j)]
+            if j - i >= 3 and all(ways):
+                turns = sum(a != b for a, b in zip(ways, ways[1:]))
+                costs.append(secret_scan.PART + secret_scan.FIRST_KEY + secret_scan.STEP * (j - i - 1) + secret_scan.TURN * turns)
+            best[j] = min(best[j], best[i] + min(costs))
+    return best[n]
+
+
+def test_guess_cost_against_every_segmentation():
+    rng = np.random.default_rng(8)
+    parts = ["password", "the", "Dragon", "p@ssw0rd", "aaaa", "zzz", "qwert", "asdfdsa", "poiu", "1987-05-21", "2019", "31121999", "k7", "X", "9", "#", "were", "3333333", "wewewe", "SECRET"]
+    values = ["".join(rng.choice(parts, rng.integers(1, 6))) for _ in range(1200)] + ["".join(rng.choice(list("aAqwerty123!"), rng.integers(0, 14))) for _ in range(800)] + ["k7aaaaafterthan", "aaa", "a" * 40 + "password"]
+    rank = {w: k + 1 for k, w in enumerate(["the", "after", "than", "password", "dragon", "were", "secret", "art", "was"])}
+    for value in values:
+        assert math.isclose(guess_bits(value, rank), brute_guess_bits(value, rank), rel_tol=1e-9, abs_tol=1e-9), value
+
+
+def test_spaces_before_a_credential_value():
+    assert redact_text("the passphrase is" + " " * 9 + "tr0ub4dor&3xQz91 ok") == "the passphrase is" + " " * 9 + "[SECRET] ok"
+
+
+def test_dictionary_of_the_corpus(spark):
+    docs = spark.createDataFrame([(1, "Zebrafish zebrafish, quokka QUOKKA quokka"), (2, None), (3, "once")], "doc_id long, text string")
+    rank = ranked_words(docs)
+    assert rank["quokka"] < rank["zebrafish"] and "once" not in rank and rank["the"] == 1
+    assert guess_bits("quokkazebrafish", rank) < guess_bits("quokkazebrafish")
+
+
 def test_secrets_and_rules_on_odd_rows(spark, odd):
     assert sorted(r.doc_id or 0 for r in scan_secrets(odd).collect()) == [0, 1, 2, 2, 5]
     leak = odd.withColumn("text", F.when(F.col("doc_id") == 5, "a password=secret99 b").otherwise(F.col("text")))
@@ -95,6 +146,26 @@ def test_secrets_and_rules_on_odd_rows(spark, odd):
     assert quality_cascade(odd.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_every_rule_rejects_and_the_order_changes_nothing(spark):
+    prose = " ".join(f"word{k}s of tale" for k in range(40))
+    texts = {"symbols": prose + " #" * 90, "repeated_lines": "\n".join(["one line that comes again"] * 4 + [prose]), "word_length": " ".join(f"{k}" * 26 for k in "abcdefghijkl"), "capitals": prose.upper(), "exclamation": prose.replace(" tale", "! tale"),
+             "digits": " ".join(f"{k * 7919 + 10**9}" for k in range(30)), "bullets": "\n".join(f"- item{k} is a{k} thing" for k in range(12)), "one_word": "x " * 400, None: prose}
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    rules = quality_rules.default_rules()
+    kept = []
+    for order in (rules, rules[::-1]):
+        got = {r.doc_id: r for r in quality_cascade(docs, order).collect()}
+        kept.append({k: r.kept for k, r in got.items()})
+        for k, name in enumerate(texts):
+            assert got[k].kept == (name is None), name
+    assert kept[0] == kept[1]
+    stats = quality_rules.with_statistics(docs)
+    for k, name in enumerate(list(texts)[:-1]):
+        assert stats.filter(dict(rules)[name]).filter(F.col("doc_id") == k).count() == 1, name
+    measured = quality_rules.measure_rules(stats, rules)
+    assert [m["rule"] for m in measured] == [n for n, _ in rules] and all(0 <= m["rejection"] <= 1 and m["cost"] > 0 for m in measured)
+
+
 def test_repeat_words_against_brute_force(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(rng.choice(list("abc"), n)) for n in (4, 5, 6, 9, 12, 30, 80)] + ["x y z\n\nx y z\n \nX\n|#| end"]
@@ -104,6 +175,7 @@ def test_repeat_words_against_brute_force(spark):
         for k in range(len(words) - 4):
             seen.setdefault(tuple(words[k : k + 5]), []).append(k)
         assert r.n_repeat_words == len({j for v in seen.values() if len(v) > 1 for k in v for j in range(k, k + 5)})
+        assert r.n_words == len(words) and r.word_chars == sum(map(len, words)) and r.base_failed == (len(words) < 10 or 100 * r.n_repeat_words > 20 * len(words))
     assert (r.n_dup_lines, r.n_symbols) == (1, 3)
 
 
@@ -240,17 +312,49 @@ def test_line_field_marginals_against_enumeration():
         assert np.allclose(bad[s : s + n], on / total)
 
 
-@pytest.mark.parametrize("name,label,folds,held,accuracy", [("op8_line_crf_quality", "quality", 5, 0, 0.9), ("op10_weak_supervision_toxicity", "toxic", 4, 2, 0.85)])
-def test_held_out_accuracy(spark, name, label, folds, held, accuracy):
-    sf = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("name,label,folds,held,caught,spared", [("op8_line_crf_quality", "quality", 5, 0, 0.93, 0.85), ("op10_weak_supervision_toxicity", "toxic", 4, 2, 0.85, 0.97)])
+def test_held_out_recall(spark, name, label, folds, held, caught, spared):
+    """Shares of held-out rows with label 1 that are found, and with label 0 that are left alone; always one answer fails one of them."""
+    sf = "/root/testdata/sf0.1"
     got = queries.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == held) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
-    test = [r for r in got if r.held_out]
-    assert sum(r.predicted == r[label] for r in test) >= accuracy * len(test)
+    on, off = ([r.predicted for r in got if r.held_out and r[label] == x] for x in (1, 0))
+    assert sum(on) >= caught * len(on) and len(off) - sum(off) >= spared * len(off)
+
+
+def test_label_model_learns_accuracies_and_dependence():
+    """Votes drawn from a known model, a third of the rows with a gold label that is wrong now and then, one voter a copy of another."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(6000) < 0.2
+    rates = [(0.8, 0.05), (0.7, 0.1), (0.6, 0.02), (0.5, 0.2)]
+    votes = np.stack([np.where(truth, rng.random(6000) < a, rng.random(6000) < b) for a, b in rates], 1).astype(float)
+    votes = np.concatenate([votes, votes[:, :1]], 1)
+    gold = np.where(rng.random(6000) < 0.33, np.where(rng.random(6000) < 0.05, ~truth, truth).astype(float), np.nan)
+    model = LabelModel().fit(votes, gold)
+    assert abs(model.prior - truth.mean()) < 0.03 and abs(model.gold_accuracy - 0.95) < 0.03
+    for k, (a, b) in enumerate(rates):
+        assert abs(model.accuracy[k] - (truth * a + ~truth * (1 - b)).mean()) < 0.03
+    assert model.parents[4] == 0 or model.parents[0] == 4
+    unknown = np.isnan(gold)
+    assert ((model.posterior > 0.5) == truth)[unknown].mean() > 0.93
+    alone = LabelModel().fit(votes, np.full(6000, np.nan))
+    assert ((alone.posterior > 0.5) == truth).mean() > 0.9
+
+
+def test_toxicity_without_labels(spark):
+    """The fixed voters alone teach the classifier."""
+    rng = np.random.default_rng(5)
+    calm = [" ".join(rng.choice([f"w{k}" for k in range(300)], 40)) for _ in range(200)]
+    rude = [c + " you stupid idiot, you are scum and trash" for c in calm[:40]]
+    docs = spark.createDataFrame(list(enumerate(rude + calm[40:])), "doc_id long, text string").withColumn("score", F.lit("x"))
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity_scores(docs, labels)
+    assert got.columns == ["doc_id", "text", "score"]
+    assert all((r.score >= 0.3) == (r.doc_id < 40) for r in got.collect())
 
 
 def test_classifiers_on_odd_rows(spark, odd):
-    docs = odd.drop("score")
+    docs = odd
     labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(20)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     for f in (quality_scores, toxicity_scores):
         assert f(docs, labels).count() == 5 and f(docs.limit(0), labels).count() == 0
@@ -259,31 +363,41 @@ def test_classifiers_on_odd_rows(spark, odd):
 
 def test_raking_meets_targets(spark, odd):
     cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", float(1 + (a * 7 + b * 3 + c) % 11)) for a in range(4) for b in range(3) for c in range(2)], "source string, lang string, topic string, tokens double")
-    rows = rake(cells, alpha=0.5).toPandas()
+    rows = rake(cells, alpha=0.5, budget=0.2, sweeps=24, tolerance=1e-7).toPandas()
     for d in ("source", "lang", "topic"):
         want = cells.groupBy(d).agg(F.sqrt(F.sum("tokens")).alias("w")).toPandas().set_index(d).w
-        assert np.allclose((rows.groupby(d).weight.sum() / rows.weight.sum()).sort_index(), (want / want.sum()).sort_index(), atol=1e-6)
-    kept = mix_documents(odd, budget=1e9)
+        assert np.allclose(rows.groupby(d).weight.sum().sort_index(), (want / want.sum()).sort_index(), atol=1e-6)
+    kept = mix_documents(odd, budget=1.0)
     assert {r.doc_id for r in kept.collect()} == {None, 5} and mix_documents(odd.limit(0)).count() == 0
 
 
+def test_bounded_raking_hands_on_what_cells_cannot_give(spark):
+    """Expected tokens of the draw meet the feasible targets although some cells give all they have."""
+    rng = np.random.default_rng(2)
+    table = [(f"s{a}", f"l{b}", f"t{c}", float(rng.integers(1, 200) * (50 if a == 0 else 1))) for a in range(5) for b in range(3) for c in range(3)]
+    cells = spark.createDataFrame(table, "source string, lang string, topic string, tokens double")
+    targets = {"topic": spark.createDataFrame([("t0", 0.7), ("t1", 0.2), ("t2", 0.1)], "value string, share double")}
+    raked = rake(cells, targets=targets, budget=0.5, sweeps=30, tolerance=1e-4)
+    p = keep_probabilities(raked, 0.5).toPandas()
+    total = p.tokens.sum()
+    assert (p.p <= 1).all() and (p.p > 1 - 1e-9).any()
+    report = marginals(raked, targets=targets, budget=0.5).toPandas()
+    assert (report.wanted > report.feasible + 1e-9).any() and np.allclose(report.groupby("dimension").feasible.sum(), 1)
+    for d in ("source", "lang", "topic"):
+        drawn = (p.tokens * p.p).groupby(p[d]).sum() / (0.5 * total)
+        want = report[report.dimension == d].set_index("value").feasible
+        assert np.allclose(drawn.sort_index(), want.sort_index(), rtol=0.05)  # what each can give, not all can give together
+
+
 def test_base_digest(spark):
     rows = queries.QUERIES["op2_guess_cost_secrets"](spark, SF).collect()
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts, rank = {r.doc_id: r.text for r in docs.collect()}, ranked_words(docs)
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     for r in rows:
         t = texts[r.doc_id]
         spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in spans) for n in range(3))
+        assert set(r.spans.split(",")) - {""} >= {f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans}
+        assert r.spans == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b, _ in find_spans(t or "", rank=rank))
         assert r.base_sha256 == hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans)).encode()).hexdigest()
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, SF).cache()
-        assert after.columns == docs.columns and 0 < after.count() <= docs.count()
-        docs = after
-    packed = corpus_pipeline.packing(spark, docs, SF)
-    assert packed.select("doc_id").distinct().count() == docs.count()
