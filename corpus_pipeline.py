@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; run()
 writes each result as Parquet and reads it as the next stage's docs. All stages but the last keep
-the columns of documents. The classifier, the similarity groups and the tokenizer can't be put in
+the columns of docs, extra ones and ones with clashing names included. Null texts, null ids and repeated rows pass the first
+and third stage as they are; the second keeps one row of a repeated id and all rows without an id; the fourth drops texts without a
+word, whose tokens count nothing; empty tables give empty results. The classifier, the similarity groups and the tokenizer can't be put in
 SQL, so ORACLE_SQL is None and the tests compare with brute-force versions.
 """
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from sediment.llm.mixing import mix_documents
 from sediment.llm.ngram_join import jaccard_components
 from sediment.llm.packing import pack_pieces, tokenize_pieces
-from sediment.llm.secret_scan import redact_secrets
+from sediment.llm.secret_scan import ranked_words, redact_secrets
 from sediment.llm.staging import stage
 from sediment.llm.toxicity import toxicity_scores
 
@@ -22,9 +24,9 @@ TOXIC_FROM = 0.3  # score from which a document is rejected
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC_FROM; null and empty texts stay."""
-    scored = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter(F.col("score") < TOXIC_FROM).drop("score")
+    """Documents whose toxicity score is below TOXIC_FROM; null and empty texts stay, and so do all columns, one named score too."""
+    scored = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name="_pipeline_toxicity")
+    return scored.filter(F.col("_pipeline_toxicity") < TOXIC_FROM).select(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret span replaced by a mark; all rows and columns stay."""
-    return redact_secrets(docs)
+    return redact_secrets(docs, rank=ranked_words(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
