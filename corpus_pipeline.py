@@ -30,11 +30,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id, once. Rows without an id stay."""
-    groups = jaccard_components(docs)
-    heads = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.filter("doc_id is null"))
+    """One document of each group of near duplicates: the one with the smallest doc_id, once. Rows without an id stay.
+
+    Texts are neither sorted nor aggregated, but for those of repeated ids: heads are narrow and hashed, texts stream past them.
+    """
+    groups = jaccard_components(docs).filter("doc_id is not null")
+    heads = groups.groupBy("doc_id").agg(F.count("*").alias("copies"), F.max("component_id").alias("most"))  # of an id's rows; none exceeds the id
+    heads = stage(heads.filter("doc_id = most").select("doc_id", "copies"), "jaccard-heads")
+    named = docs.filter("doc_id is not null")
+    pick = lambda some: named.join(some.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    kept = pick(heads.filter("copies = 1")).union(docs.filter("doc_id is null"))
+    again = heads.filter("copies > 1")
+    return kept if again.isEmpty() else kept.union(pick(again).dropDuplicates(["doc_id"]))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from sediment.llm import wordhash
 from sediment.llm.components import components
-from sediment.llm.staging import drop, partitions, release, small_batches, stage
+from sediment.llm.staging import drop, lean, partitions, release, small_batches, stage
 
 GROUPS = 128  # coordinates of a point
 FINE_GROUPS = 1024  # and of a set of at least FINE_FROM tokens, whose coarse point is its fold: large sets need them to tell strangers apart
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         if held:
             yield heavy()
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, point binary, token long, hits long")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, cls long, point binary, token long, hits long")
 
 
 def _counts(hashes: np.ndarray, groups: int) -> np.ndarray:
@@ -227,7 +227,7 @@ def prefix_entries(docs: DataFrame, order, n_ranges: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "range int, token binary, cls binary, size binary")
+    return docs.select("text").mapInArrow(lean(run), "range int, token binary, cls binary, size binary")
 
 
 def _runs(key: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -285,7 +285,7 @@ def token_groups(entries: DataFrame, n_partitions: int) -> DataFrame:
         for r in sorted(by_range):
             yield from one_range(by_range.pop(r))
 
-    return entries.repartition(n_partitions, "range").mapInArrow(run, "grp long, cls long, n long, hits long")
+    return entries.repartition(n_partitions, "range").mapInArrow(lean(run), "grp long, cls long, n long, hits long")
 
 
 def _families(grp: np.ndarray, cls: np.ndarray, n: np.ndarray):
@@ -332,7 +332,7 @@ def groups_in_play(found: DataFrame, able: DataFrame, n_partitions: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 20_000]) for x in out], names)
 
     rows = found.filter("grp is not null").select("grp", "cls", "n").join(able.select("cls"), "cls").select("grp", "cls", "n")
-    return rows.repartition(n_partitions, "grp").mapInArrow(run, "grp long, cls long, n long, pivot long, pivot_n long, prev long, prev_n long")
+    return rows.repartition(n_partitions, "grp").mapInArrow(lean(run), "grp long, cls long, n long, pivot long, pivot_n long, prev long, prev_n long")
 
 
 def pack_set(hashes: np.ndarray) -> bytes:
@@ -370,7 +370,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array([pack_set(token[bounds[i] : bounds[i + 1]]) for i in some], pa.binary())], ["cls", "set"])
 
     rows = docs.join(wanted, docs.doc_id == wanted.rep).select("cls", "text")
-    return rows.mapInArrow(run, "cls long, set binary")
+    return rows.mapInArrow(lean(run), "cls long, set binary")
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     one = pairs.join(sets.withColumnRenamed("cls", "b").withColumnRenamed("set", "y"), "b")
     two = one.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("set", "x"), "a")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def bound_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -406,7 +406,7 @@ def bound_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), allowed], ["a", "b", "allowed"]).filter(pa.array(good))
 
     point = lambda c, name: classes.select(F.col("cls").alias(c), F.col("point").alias(name))
-    return pairs.join(point("b", "y"), "b").join(point("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, allowed double")
+    return pairs.join(point("b", "y"), "b").join(point("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, allowed double")
 
 
 def best_partners(pairs: DataFrame, each: int = PARTNERS) -> DataFrame:
@@ -541,7 +541,7 @@ def tree_candidates(rows: DataFrame, n_partitions: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
     ordered = rows.select("job", "side", "cls", "root", "point").repartition(n_partitions, "job").sortWithinPartitions("job")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(lean(run), "a long, b long")
 
 
 def cluster_links(edges: DataFrame, roots: DataFrame, sets: DataFrame, n_partitions: int) -> DataFrame:
@@ -570,7 +570,7 @@ def cluster_links(edges: DataFrame, roots: DataFrame, sets: DataFrame, n_partiti
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
     ordered = rows.repartition(n_partitions, "job").sortWithinPartitions("job", "side", "cls")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(lean(run), "a long, b long")
 
 
 def open_jobs(groups: DataFrame, roots: DataFrame) -> DataFrame:

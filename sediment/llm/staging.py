@@ -7,12 +7,14 @@ setting is absent (tests), the warehouse folder serves instead; it is shared too
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -77,3 +79,23 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def hand_back() -> None:
+    """Return this process's freed memory to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """`run` for mapInArrow, handing back memory when a task ends: workers live on, and what they hold comes on top of what the executor's heap needs next."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return task

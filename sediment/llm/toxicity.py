@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sediment.llm import wordhash
 from sediment.llm.labelled import fold, labelled_sample, unlabelled_sample
-from sediment.llm.staging import drop, stage
+from sediment.llm.staging import drop, lean, stage
 
 SAMPLE = 6_000  # labelled documents that the voters, the label model and the classifier are fitted on
 UNLABELLED = 3_000  # documents without a usable label that join them
@@ -334,7 +334,7 @@ def score_texts(docs: DataFrame, model: Linear, name: str = "score") -> DataFram
                 score = shared.value.scores(doc, ids, part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, name])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(lean(run), schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, unlabelled: int = UNLABELLED, name: str = "score") -> DataFrame:

@@ -148,3 +148,47 @@ def test_stages_on_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_near_duplicates_neither_sort_nor_aggregate_texts(spark, folder):
+    """Ids that come once: their whole rows only stream. The sorts took more than an executor's memory."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id is null or doc_id <> 5")
+    out = corpus_pipeline.ngram_jaccard(spark, docs, folder)
+    assert out.count() > 100
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan and "Aggregate" not in plan, plan
+
+
+def test_one_row_of_an_id_with_different_texts(spark):
+    """Id 3 heads a group with one of its texts and follows id 1 with the other; id 4 only follows."""
+    import corpus_pipeline
+
+    text = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    rows = [(1, text("a")), (3, text("a")), (3, text("b")), (4, text("b")), (4, text("a")), (6, text("c")), (6, text("c")), (None, text("a")), (None, text("a"))]
+    got = corpus_pipeline.ngram_jaccard(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    ids = sorted((r.doc_id for r in got), key=str)
+    assert ids == sorted({r[0] for r in rows if r[0] in (1, 3, 6)}) + [None, None] and all(tuple(r) in rows for r in got)
+
+
+def test_workers_hand_back_memory():
+    """What a finished task held in small pieces goes back to the system, though something above it lives on."""
+    import subprocess
+    import sys
+
+    code = """
+import re
+from sediment.llm.staging import lean
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+kept = []
+def run(batches):
+    parts = [bytearray(60_000) for _ in range(3000)]
+    kept.append(bytearray(60_000))
+    yield held()
+before = held()
+top = [*lean(run)(iter(()))][0]
+print(top - before, held() - before)
+"""
+    top, after = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert top > 150 and after < 40
