@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sediment.llm.staging import stage
+from sediment.llm.staging import kept_caches, lean, stage
 
 CACHE_CHUNKS = 800_000  # distinct text chunks whose ids a worker keeps; the cache starts anew beyond it
 GROUP_PIECES = 20_000  # pieces packed together: a group wastes at most about one bin in several thousand
@@ -179,6 +179,7 @@ class ChunkEncoder:
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}  # of this worker process, kept from task to task
+kept_caches.append(_encoders)
 
 
 def encoder_of(path: str | None, name: str) -> ChunkEncoder:
@@ -220,7 +221,7 @@ def tokenize_pieces(docs: DataFrame, max_tokens: int = 4096, end_id: int = 1, to
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECE + ", ids binary" * keep_ids)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, keep=True), _PIECE + ", ids binary" * keep_ids)
 
 
 def best_fit(lengths: np.ndarray, max_tokens: int, max_docs: int, max_cost: float, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sediment.llm.staging import lean
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -197,7 +199,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", min_b
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("bits", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), _SCHEMA)
 
 
 def redact_text(text: str | None, min_bits: float = MIN_BITS, mark: str = "[SECRET]", rank: dict[str, int] = RANK) -> str | None:
@@ -230,7 +232,7 @@ def redact_secrets(docs: DataFrame, min_bits: float = MIN_BITS, rank: dict[str,
                 columns[size] = pa.array([n if t is None else len(t) for t, n in zip(texts, old)], batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op2_guess_cost_secrets(spark, sf_dir: str) -> DataFrame:

@@ -89,10 +89,20 @@ def hand_back() -> None:
         trim(0)
 
 
-def lean(run: Callable) -> Callable:
-    """`run` for mapInArrow, handing back memory when a task ends: workers live on, and what they hold comes on top of what the executor's heap needs next."""
+kept_caches: list[dict] = []  # of this worker process: what operators keep from task to task
+
+
+def lean(run: Callable, keep: bool = False) -> Callable:
+    """`run` for mapInArrow, handing back memory when a task ends: workers live on, and what they hold comes on top of what the executor's heap needs next.
+
+    Unless `keep`, caches that another operator's tasks left in this worker go first.
+    """
 
     def task(batches):
+        if not keep and any(kept_caches):
+            for cache in kept_caches:
+                cache.clear()
+            hand_back()
         try:
             yield from run(batches)
         finally:

@@ -132,7 +132,7 @@ def _features_of(sample: DataFrame, keep) -> pa.Table:
                 found = [ids[bounds[k] : bounds[k + 1]].tobytes() for k in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.binary()), pa.array(votes, pa.list_(pa.int32()))], ["doc_id", "label", "features", "votes"])
 
-    return sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, features binary, votes array<int>").toArrow()
+    return sample.select("doc_id", "text", "label").mapInArrow(lean(run), "doc_id long, label int, features binary, votes array<int>").toArrow()
 
 
 def _flat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:

@@ -192,3 +192,13 @@ print(top - before, held() - before)
 """
     top, after = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
     assert top > 150 and after < 40
+
+
+def test_other_operators_drop_a_workers_tokenizer_cache():
+    """Tokenizing tasks keep it for each other; it must not weigh on the next operator in the same worker."""
+    from sediment.llm import packing
+    from sediment.llm.staging import lean
+
+    packing.encoder_of(None, "word_bpe_49k.json")
+    assert [*lean(iter, keep=True)([1, 2])] == [1, 2] and packing._encoders
+    assert [*lean(iter)([1, 2])] == [1, 2] and not packing._encoders
