@@ -33,7 +33,7 @@ from sediment.plans import planner
 from sediment.plans.compact import compact
 from sediment.plans.planner import Limits
 
-BLOOM_KEYS = 1_000_000  # expected distinct keys a file's Parquet Bloom filter is sized for
+BLOOM_KEYS = 1_000_000  # distinct keys that a file's Parquet Bloom filter is sized for at most
 ROLL = 32  # edits from one folded manifest to the next
 _RUN = re.compile(r"\d{6,}-[0-9a-f]{8}")
 _EDIT = re.compile(r"(\d{10})(\.roll)?\.json")
@@ -69,7 +69,7 @@ def _parsed(kind: str, shown):
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, state: dict, limits: Limits = Limits()):
-        self.spark, self.path, self._state, self._closed, self.limits = spark, path.rstrip("/"), state, False, limits
+        self.spark, self.path, self._state, self._closed, self.limits, self._kind = spark, path.rstrip("/"), state, False, limits, None
 
     # opening and closing
 
@@ -231,22 +231,29 @@ class Store:
         return sorted(self._state["files"].values(), key=lambda f: (f["level"], f["file_number"]))
 
     def _ends(self, f: dict) -> tuple:
-        kind = self.schema["key"].dataType.simpleString()
-        return _parsed(kind, f["smallest_key"]), _parsed(kind, f["largest_key"])
+        if self._kind is None:  # the same for every version
+            self._kind = self.schema["key"].dataType.simpleString()
+        return _parsed(self._kind, f["smallest_key"]), _parsed(self._kind, f["largest_key"])
+
+    def _hull(self, files: list[dict]) -> tuple:
+        """The smallest and the largest key of files."""
+        ends = [self._ends(f) for f in files]
+        return min(a for a, _ in ends), max(b for _, b in ends)
 
     def _meeting(self, low=None, high=None, levels=None) -> list[dict]:
         """Files whose range meets [low, high]."""
         out = []
         for f in self.files():
-            a, b = self._ends(f)
-            if (levels is None or f["level"] in levels) and (low is None or b >= low) and (high is None or a <= high):
-                out.append(f)
+            if levels is None or f["level"] in levels:
+                a, b = self._ends(f)
+                if (low is None or b >= low) and (high is None or a <= high):
+                    out.append(f)
         return out
 
-    def files_table(self) -> DataFrame:
-        """The manifest's files as the table that the planner's functions take."""
+    def files_table(self, files: list[dict] | None = None) -> DataFrame:
+        """The manifest's files, or some of them, as the table that the planner's functions take."""
         kind = self.schema["key"].dataType
-        rows = [(f["level"], f["file_number"], f["file_size"], *self._ends(f)) for f in self.files()]
+        rows = [(f["level"], f["file_number"], f["file_size"], *self._ends(f)) for f in (self.files() if files is None else files)]
         types = StructType.fromDDL("level int, file_number long, file_size long").add("smallest_key", kind).add("largest_key", kind)
         return self.spark.createDataFrame(rows, types)
 
@@ -255,10 +262,11 @@ class Store:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{f['dir']}/{f['file']}" for f in files])
 
-    def _write_run(self, rows: DataFrame, level: int, n_files: int | None = None, cuts: DataFrame | None = None) -> list[dict]:
+    def _write_run(self, rows: DataFrame, level: int, n_files: int | None = None, cuts: DataFrame | None = None, most_rows: int | None = None) -> list[dict]:
         """A sorted run as files of disjoint key ranges, with min/max statistics and a Bloom filter on key: their manifest entries.
 
-        Without n_files adaptive execution sizes them. cuts (key, output): no file holds keys of two outputs.
+        Without n_files adaptive execution sizes them. cuts (key, output): no file holds keys of two outputs. most_rows, if known, bounds
+        the Bloom filters.
         """
         name = f"{self._state['next_file_number']:06d}-{uuid.uuid4().hex[:8]}"  # two writers may take the same number; only one of them commits it
         target = f"{self.path}/data/{name}"
@@ -267,7 +275,9 @@ class Store:
         if cuts is not None:
             rows, by = rows.join(cuts, "key"), ["output", "key"]
         dealt = rows.repartitionByRange(*([n_files] if n_files else []), *by).sortWithinPartitions(*by, F.desc("seq"), F.desc("kind"))
-        out = dealt.write.option("maxRecordsPerFile", 0).option("compression", self._state["codec"]).option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(BLOOM_KEYS))
+        keys = BLOOM_KEYS if most_rows is None else min(BLOOM_KEYS, 2 * math.ceil(most_rows / (n_files or 1)) + 64)
+        bloom = {"enabled#key": "true", "adaptive.enabled": "true", "max.bytes": str(1 << min(20, (keys * 10 // 8).bit_length())), "candidates.number": "12"}  # the smallest that suits a file's keys
+        out = dealt.write.option("maxRecordsPerFile", 0).option("compression", self._state["codec"]).options(**{f"parquet.bloom.filter.{k}": v for k, v in bloom.items()})
         (out if cuts is None else out.partitionBy("output")).parquet(target)
         entries = self._describe(name, level, self._state["next_file_number"])
         if not entries:
@@ -413,30 +423,51 @@ class Store:
         return None if row is None else row.level
 
     def compact(self, level: int | None = None) -> bool:
-        """One bounded merge of a level into the next; without `level`, of the most pressing one. Snapshots keep seeing what they saw.
+        """One merge of what a level holds beyond its limit; without `level`, of the most pressing one. Snapshots keep seeing what they saw.
 
-        Level 0 gives the files that overlap its oldest one, directly or through others; a deeper level
-        the file after its rotation pointer. Files that share a user key go together.
+        Level 0 gives the files that overlap its oldest one, directly or through others, then the next oldest, until few enough are left; a
+        deeper level the files after its rotation pointer. Files that share a user key go together. However small the files are, a store
+        is thus compacted in a few jobs a level, each as large as the excess and what it meets below.
         """
         level = self.pick_level() if level is None else level
         if level is None:
             return False
-        table = self.files_table()
-        if level == 0:
-            groups = planner.overlap_groups(table, 0)
-            oldest = table.filter("level = 0").agg(F.min("file_number")).first()[0]
-            chosen = groups.join(groups.filter(F.col("file_number") == F.lit(oldest)).select("overlap_group"), "overlap_group", "left_semi")
-        else:
-            pointer = self._state.get("pointers", {}).get(str(level))
-            start = planner.next_file(table, level, None if pointer is None else _parsed(self.schema["key"].dataType.simpleString(), pointer))
-            groups = planner.boundary_groups(table, level)
-            chosen = groups.join(start.select("file_number"), "file_number", "left_semi").select("boundary_group").join(groups, "boundary_group")
-        numbers = {r[0] for r in chosen.select("file_number").collect()}
-        base = [f for f in self.files() if f["level"] == level and f["file_number"] in numbers]
+        here = {f["file_number"]: f for f in self.files() if f["level"] == level}
+        base = (self._oldest_groups if level == 0 else self._after_pointer)(here, level) if here else []
         return self._merge(base, level) if base else False
 
+    def _oldest_groups(self, here: dict[int, dict], level: int) -> list[dict]:
+        groups: dict[int, list[int]] = {}
+        for r in planner.overlap_groups(self.files_table(list(here.values())), level).select("overlap_group", "file_number").collect():  # one row a file
+            groups.setdefault(r.overlap_group, []).append(r.file_number)
+        out: list[dict] = []
+        for numbers in sorted(groups.values(), key=min):
+            if out and len(here) - len(out) < self.limits.l0_files:
+                break
+            out += [here[n] for n in numbers]
+        return out
+
+    def _after_pointer(self, here: dict[int, dict], level: int) -> list[dict]:
+        """Neighbours from the rotation pointer on, until the level is below its limit or ends."""
+        ordered = sorted(((*self._ends(f), f["file_number"]) for f in here.values()))
+        pointer = self._state.get("pointers", {}).get(str(level))
+        bound = None if pointer is None else _parsed(self._kind, pointer)
+        start = next((k for k, (_, high, _) in enumerate(ordered) if bound is not None and high > bound), 0)
+        shares = lambda k: 0 < k < len(ordered) and ordered[k - 1][1] == ordered[k][0]
+        while shares(start):
+            start -= 1
+        stop, left = start, sum(f["file_size"] for f in here.values())
+        while stop < len(ordered) and (stop == start or left >= self._full(level) or shares(stop)):
+            left -= here[ordered[stop][2]]["file_size"]
+            stop += 1
+        return [here[n] for _, _, n in ordered[start:stop]]
+
+    def _full(self, level: int) -> float:
+        """Bytes at which a level from 1 on is due, as in planner.level_scores; the last one never is."""
+        return self.limits.base_bytes * float(self.limits.ratio) ** (level - 1) if level < self.limits.levels - 1 else math.inf
+
     def compact_range(self, low=None, high=None, drop: Column | None = None) -> int:
-        """Push what overlaps [low, high] down level by level, about a file of input at a time; returns how many merges ran.
+        """Push what overlaps [low, high] down level by level, a merge each; returns how many ran.
 
         `drop` (a predicate on key and value) deletes the live rows that it names on the way, older versions
         included; with it every level that holds the range is rewritten.
@@ -444,44 +475,47 @@ class Store:
         merges = 0
         deepest = max((f["level"] for f in self._meeting(low, high)), default=0)
         for level in range(deepest + 1 if drop is not None else max(deepest, 1)):
-            todo = {f["file_number"] for f in self._meeting(low, high, [level])}
-            while todo:
-                here = [f for f in self.files() if f["level"] == level and f["file_number"] in todo]
-                if not here:
-                    break
-                base = here if level == 0 else here[:1]
-                todo -= {f["file_number"] for f in base}
+            base = self._meeting(low, high, [level])
+            if base:
                 merges += self._merge(base, level, drop, manual=True)
         return merges
 
     def _merge(self, base: list[dict], level: int, drop: Column | None = None, manual: bool = False) -> bool:
-        ends = [self._ends(f) for f in base]
-        low, high = min(a for a, _ in ends), max(b for _, b in ends)
-        table = self.files_table()
-        numbers = {f["file_number"] for f in base}
-        if level > 0 and not manual:  # base files may grow while no parent joins
-            numbers |= {r.file_number for r in planner.expand_inputs(table, level, low, high, self.limits).filter(F.col("level") == level).collect()}
-        base = [f for f in self.files() if f["level"] == level and f["file_number"] in numbers]
-        ends = [self._ends(f) for f in base]
-        low, high = min(a for a, _ in ends), max(b for _, b in ends)
-        to = min(level + 1, self.limits.levels - 1)
-        parents = self._meeting(low, high, [to]) if to > level else []
-        pointer = {str(level): _shown(high)}
-        gone = [f["file_number"] for f in base + parents]
-        if not manual and len(base) == 1 and not parents and to > level and planner.trivial_moves(table, level, self.limits).filter(F.col("file_number") == base[0]["file_number"]).limit(1).count():
-            self._commit(added=[base[0] | {"level": to}], deleted=gone, pointers=pointer, work={"kind": "move", "level": to, "read": 0, "written": 0})
-            return True
-        below = table.filter(~F.col("file_number").isin(gone)) if len(gone) < len(self.files()) else None  # any of them may hold what a delete still hides
+        """Merge neighbours of a level into the next, or straight into the first deeper one that has room for them and for what they meet on the way."""
+        to, low, high = level, *self._hull(base)
+        parents: list[dict] = []
+        while to < self.limits.levels - 1:
+            to += 1
+            met = self._meeting(low, high, [to])
+            parents += met
+            low, high = self._hull(base + parents)
+            held = {f["file_number"] for f in met}
+            size = sum(f["file_size"] for f in base + parents) + sum(f["file_size"] for f in self.files() if f["level"] == to and f["file_number"] not in held)
+            if manual or size < self._full(to) or level and not parents:
+                break
+        size = sum(f["file_size"] for f in base + parents)
+        if level > 0 and not manual and to == level + 1 and parents and size < self.limits.expand_bytes:  # base files may grow while no parent joins
+            numbers = {r.file_number for r in planner.expand_inputs(self.files_table(), level, *self._hull(base), self.limits).filter(F.col("level") == level).collect()}
+            base = [f for f in self.files() if f["level"] == level and f["file_number"] in numbers]
+            size = sum(f["file_size"] for f in base + parents)
+            low, high = self._hull(base + parents)
+        pointer = {str(level): _shown(self._hull(base)[1])}
+        gone = {f["file_number"] for f in base + parents}
+        if not manual and level > 0 and not parents and to > level:
+            movable = {r.file_number for r in planner.trivial_moves(self.files_table(), level, self.limits).select("file_number").collect()}  # at most one row a file
+            if gone <= movable:
+                self._commit(added=[f | {"level": to} for f in base], deleted=sorted(gone), pointers=pointer, work={"kind": "move", "level": to, "read": 0, "written": 0})
+                return True
+        others = [f for f in self._meeting(low, high) if f["file_number"] not in gone]  # any of them may hold what a delete still hides
         bound = min(self.oldest_snapshot(), self._state.get("sealed", self.last_sequence))
-        kept = compact(self._runs(base + parents), bound, below, drop)
+        kept = compact(self._runs(base + parents), bound, self.files_table(others) if others else None, drop)
         single = all(f["largest_seq"] <= bound for f in base + parents)  # then one version of each key is left
-        size = sum(f["file_size"] for f in base + parents)
-        cuts = None
-        if any(f["level"] == level + 2 for f in self._meeting(low, high)):
-            cuts = planner.output_cuts(kept.select("key"), table, level, self.limits.grandparent_bytes)
-        added = [f | {"single": single} for f in self._write_run(kept, to, max(1, math.ceil(size / self.limits.file_bytes)), cuts)]
+        grand = [f for f in others if f["level"] == to + 1]
+        cuts = planner.output_cuts(kept.select("key"), self.files_table(grand), to - 1, self.limits.grandparent_bytes) if grand else None
+        n_files = max(1, math.ceil(size / self.limits.file_bytes))
+        added = [f | {"single": single} for f in self._write_run(kept, to, n_files, cuts, sum(f["n_entries"] for f in base + parents))]
         work = {"kind": "merge", "level": to, "read": size, "written": sum(f["file_size"] for f in added)}
-        self._commit(added=added, deleted=gone, pointers=pointer, next_file_number=self._state["next_file_number"] + len(added), work=work)
+        self._commit(added=added, deleted=sorted(gone), pointers=pointer, next_file_number=self._state["next_file_number"] + len(added), work=work)
         return True
 
     # copies and repair

@@ -83,6 +83,20 @@ def test_compaction_works_in_bounded_steps(spark, tmp_path):
     assert gone and live(store) == model and store.collect_garbage() == []
 
 
+def test_small_files_are_compacted_in_few_merges(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "db"), "key long, value double", create_if_missing=True, limits=TINY)
+    rows = lambda n: spark.range(12_000).select((F.col("id") * 7919 % 12_007).alias("key"), (F.col("id") + 1 + 12_000 * n).alias("seq"), F.when(F.col("id") % 5 == n, 0).otherwise(1).cast("tinyint").alias("kind"), F.rand(n).alias("value"))
+    merges = 0
+    for n in range(3):
+        store.write_log(rows(n), sealed=12_000 * (n + 1))
+        while store.compact() and merges < 12:
+            merges += 1
+    assert merges < 12 and store.pick_level() is None and not _overlaps(store.files_table().filter("level > 0"))
+    assert len(store.files()) > 20 and max(f["file_size"] for f in store.files() if f["level"] > 0) < 3 * TINY.file_bytes  # no Bloom filter of a megabyte in each
+    want = {r.key: r.value for r in log.resolve(rows(0).union(rows(1)).union(rows(2))).collect()}
+    assert live(store) == want
+
+
 def _overlaps(files):
     from sediment.plans import manifest
 
