@@ -15,6 +15,7 @@ from sediment.plans import store as store_module
 from sediment.plans.planner import Limits
 from sediment.plans.store import ConflictError, Store, StoreError
 from sediment.sources import formats
+from sediment.streaming.apply import apply_log_stream
 
 TINY = Limits(l0_files=2, base_bytes=4_000, file_bytes=3_000, grandparent_bytes=6_000, expand_bytes=20_000)
 KEYS = {
@@ -97,6 +98,18 @@ def test_small_files_are_compacted_in_few_merges(spark, tmp_path):
     assert live(store) == want
 
 
+def test_streams_compact_in_few_merges(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = spark.range(16_000).select((F.col("id") * 7919 % 4_001).alias("key"), (F.col("id") + 1).alias("seq"), F.when(F.col("id") % 5 == 0, 0).otherwise(1).cast("tinyint").alias("kind"), F.rand(1).alias("value"))
+    rows.repartition(2, F.xxhash64("seq")).write.parquet(source)
+    store = Store.open(spark, str(tmp_path / "db"), "key long, value double", create_if_missing=True, limits=TINY)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = apply_log_stream(stream, store, str(tmp_path / "state"))
+    assert query.awaitTermination(120) or query.stop()
+    assert store.version <= 12 and store.pick_level() is None  # edits: the first, a write a micro-batch, and what was compacted
+    assert live(store) == {r.key: r.value for r in log.resolve(spark.read.parquet(source)).collect()}
+
+
 def _overlaps(files):
     from sediment.plans import manifest
 
