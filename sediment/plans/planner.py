@@ -80,26 +80,57 @@ def overlap_sums(files: DataFrame, ranges: DataFrame, amount: Column) -> DataFra
     return ranges.join(upto, "high").join(past, "low").select(*ranges.columns, (F.col("_upto") - F.col("_past")).alias("total"))
 
 
+FAN_BITS, TIERS = 4, 6  # blocks of 16 segments, blocks of 16 of those, ...: TIERS sizes in all
+
+
+def _pieces(first: Column, last: Column) -> Column:
+    """The fewest aligned blocks (tier, block) that make up the segments from `first` to `last`: at most 30 a tier, whatever the length (the top tier has all that is left)."""
+
+    def run(tier: int, low: Column, high: Column) -> Column:
+        blocks = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(blocks, lambda b: F.struct(F.lit(tier).alias("tier"), b.alias("block")))
+
+    # the whole blocks of each tier inside the span
+    ends = [(F.shiftright(first + ((1 << FAN_BITS * t) - 1), FAN_BITS * t), F.shiftright(last + 1, FAN_BITS * t) - 1) for t in range(TIERS)]
+    out = []
+    for tier in range(TIERS - 1):
+        (low, high), (wide_low, wide_high) = ends[tier], ends[tier + 1]
+        wide = wide_low <= wide_high
+        out.append(run(tier, low, F.when(wide, F.shiftleft(wide_low, FAN_BITS) - 1).otherwise(high)))
+        out.append(run(tier, F.when(wide, F.shiftleft(wide_high + 1, FAN_BITS)).otherwise(high + 1), high))
+    return F.concat(*out, run(TIERS - 1, *ends[-1]))
+
+
 def covering(files: DataFrame, keys: DataFrame) -> DataFrame:
     """Per key: how many files could hold it, and the first to be charged when more than one does (lowest level, newest file).
 
-    The ends of all files cut the key order into elementary segments; each file names the segments it spans, and a key finds its
-    segment by order. The segments follow the files table (a file names more than a few only in level 0 or above much finer levels),
-    and the keys are never compared with files.
+    The ends of all files cut the key order into elementary segments. A file names the aligned blocks of segments that make up its span, at most a few
+    dozen a tier however many segments it spans; a segment gathers what its block in each tier has, and each end takes what holds at it and after it to
+    the keys that follow it in order. So the work follows files and keys, files that span everything and crowded segments included.
     """
-    ends = rank_rows(files.select(F.col("smallest_key").alias("end")).union(files.select("largest_key")).distinct(), "end", name="place")
-    place = lambda c: ends.select(F.col("end").alias(c), (F.col("place") * 2).alias(f"_{c}"))  # noqa: E731  even: the end itself; odd: up to the next end
-    spans = files.join(place("smallest_key"), "smallest_key").join(place("largest_key"), "largest_key")
-    spans = spans.withColumn("segment", F.explode(F.sequence("_smallest_key", "_largest_key")))
+    ends = rank_rows(files.select(F.col("smallest_key").alias("end")).union(files.select("largest_key")).distinct(), "end", name="place", start=0)
+    place = lambda c, name: ends.select(F.col("end").alias(c), (F.col("place") * 2).alias(name))  # noqa: E731  even: the end itself; odd: up to the next end
     order = F.struct(F.col("level").alias("level"), (-F.col("file_number")).alias("n"))
-    segments = spans.groupBy("segment").agg(F.count("*").alias("n_files"), F.min(order).alias("o"))
+    spans = files.join(place("smallest_key", "_first"), "smallest_key").join(place("largest_key", "_last"), "largest_key").select("_first", "_last", order.alias("o"))
+    alike = spans.groupBy("_first", "_last").agg(F.count("*").alias("n_files"), F.min("o").alias("o"))
+    named = alike.select(F.explode(_pieces(F.col("_first"), F.col("_last"))).alias("p"), "n_files", "o")
+    blocks = named.groupBy("p.tier", "p.block").agg(F.sum("n_files").alias("n_files"), F.min("o").alias("o"))
+    tiers = F.array(*[F.struct(F.lit(t).alias("tier"), F.shiftright("segment", FAN_BITS * t).alias("block")) for t in range(TIERS)])
+    places = ends.select("place", F.explode(F.array(F.col("place") * 2, F.col("place") * 2 + 1)).alias("segment"))
+    asks = places.select("place", "segment", F.explode(tiers).alias("p")).select("place", "segment", "p.tier", "p.block")
+    found = asks.join(blocks, ["tier", "block"])
+    total = lambda odd: [f(F.when(F.col("segment") % 2 == odd, F.col(c))).alias(f"{c}{odd}") for f, c in ((F.sum, "n_files"), (F.min, "o"))]
+    held = ends.join(found.groupBy("place").agg(*total(0), *total(1)), "place", "left")
     kind = files.schema["smallest_key"].dataType
     asked = keys.select(F.col("key").cast(kind).alias("key")).filter("key is not null").distinct()
-    merged = ends.select(_point(F.col("end"), 0), "place").union(asked.select(_point(F.col("key"), 1), F.lit(None).cast("long")))
-    below = neighbour(merged, "at", F.when(F.col("place").isNotNull(), F.struct("place", F.col("at.value").alias("end"))), False, "below")
-    where = F.col("below.place") * 2 + F.when(F.col("below.end") == F.col("at.value"), 0).otherwise(1)
-    placed = below.filter("place is null and below is not null").select(F.col("at.value").alias("key"), where.alias("segment"))
-    return placed.join(segments, "segment").select("key", "n_files", F.when(F.col("n_files") > 1, -F.col("o.n")).alias("charged_file"))
+    what = F.struct(F.col("end"), "n_files0", "o0", "n_files1", "o1")
+    marks = held.select(_point(F.col("end"), 0), what.alias("what"))
+    merged = marks.union(asked.select(_point(F.col("key"), 1), F.lit(None).cast(marks.schema["what"].dataType)))
+    below = neighbour(merged, "at", F.col("what"), False, "below").filter("what is null and below is not null")
+    here = F.col("below.end") == F.col("at.value")
+    pick = lambda c: F.when(here, F.col(f"below.{c}0")).otherwise(F.col(f"below.{c}1")).alias(c)
+    placed = below.select(F.col("at.value").alias("key"), pick("n_files"), pick("o")).filter("n_files > 0")
+    return placed.select("key", "n_files", F.when(F.col("n_files") > 1, -F.col("o.n")).alias("charged_file"))
 
 
 def overlap_groups(files: DataFrame, level: int = 0) -> DataFrame:

@@ -4,11 +4,13 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sediment import queries
 from sediment.functions import codec
 from sediment.operators import log
 from sediment.operators.batch import BatchError, WriteBatch
+from sediment.plans import planner
 from sediment.plans.store import ConflictError, Store, StoreError
 
 SF = "/root/testdata/sf0.001"
@@ -183,3 +185,14 @@ def test_resolution_edges(spark):
     assert [bytes(r.value) for r in log.resolve(changes, 2).filter("key = X'61'").collect()] == [b"x"]
     assert [r.age for r in log.history(changes, b"a").collect()] == [1, 2, 3]
     assert log.resolve(changes.limit(0)).count() == 0
+
+
+def test_a_span_names_few_blocks(spark):
+    rng = random.Random(6)
+    spans = [tuple(sorted(rng.choices(range(3000), k=2))) for _ in range(200)] + [(1, (1 << 23) - 2), (0, 0), (15, 16), (16, 31)]
+    rows = spark.createDataFrame(spans, "a long, b long").select("a", "b", planner._pieces(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in rows:
+        assert len(r.p) <= 30 * planner.TIERS
+        assert sum(1 << planner.FAN_BITS * p.tier for p in r.p) == r.b - r.a + 1
+        if r.b < 3000:
+            assert sorted(k for p in r.p for k in range(p.block << planner.FAN_BITS * p.tier, p.block + 1 << planner.FAN_BITS * p.tier)) == list(range(r.a, r.b + 1))
