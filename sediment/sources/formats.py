@@ -16,14 +16,53 @@ spark.sql.python.filterPushdown.enabled is on, and prune blocks.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from sediment.functions import codec
 
 
+PART_BYTES = 8 << 20  # of a long manifest log, read by one task; whole blocks
+
+
 class FilePart(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, start: int = 0, stop: int | None = None, number: int = 0):
+        self.path, self.start, self.stop, self.number = path, start, stop, number
+
+
+def _log_part(path: str, start: int, stop: int):
+    """Records and problems of the part [start, stop) of a log file."""
+    system, root = _open(path)
+    with system.open_input_file(root) as f:
+        yield from codec.log_part(lambda at, end: f.read_at(end - at, at), f.size(), start, stop)
+
+
+def manifest_parts(spark, path: str, part_bytes: int | None = None) -> list[tuple[str, int, int, int]]:
+    """(path, start, stop, number of its first record) of parts of the manifest logs at `path`. Tasks count the records, as only a log's beginning says which number one has; a row a part comes back."""
+    import pyarrow as pa
+
+    step, parts = part_bytes or PART_BYTES, []
+    for p in list_files(path, "MANIFEST"):
+        system, root = _open(p)
+        size = system.get_file_info(root).size
+        parts += [(p, at, min(at + step, size)) for at in range(0, size, step)] or [(p, 0, 0)]
+    counts = {}
+    if len({p for p, _, _ in parts}) < len(parts):
+
+        def run(batches):
+            for batch in batches:
+                for p, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (p, start, sum(1 for _ in _log_part(p, start, stop)))], ["path", "start", "n"])
+
+        table = spark.createDataFrame(parts, "path string, start long, stop long").repartition(len(parts))
+        counts = {(r.path, r.start): r.n for r in table.mapInArrow(run, "path string, start long, n long").collect()}
+    out, number = [], 0
+    for p, start, stop in parts:
+        number = 0 if start == 0 else number
+        out.append((p, start, stop, number))
+        number += counts.get((p, start), 0)
+    return out
 
 
 def _open(path: str):
@@ -124,9 +163,17 @@ class WalReader(_Reader):
 class ManifestReader(_Reader):
     kind = "MANIFEST"
 
+    def __init__(self, options):
+        super().__init__(options)
+        self.parts = json.loads(options.get("parts", "null"))  # as manifest_parts gives them; without, a file is one
+
+    def partitions(self):
+        return super().partitions() if self.parts is None else [FilePart(*p) for p in self.parts]
+
     def read(self, part):
         name = part.path.rpartition("/")[2]
-        for n, (at, record, problem) in enumerate(codec.log_read(self.data(part))):
+        records = codec.log_read(self.data(part)) if part.stop is None else _log_part(part.path, part.start, part.stop)
+        for n, (at, record, problem) in enumerate(records, part.number):
             try:
                 if problem:
                     raise codec.Corrupt(problem, at)
@@ -188,9 +235,12 @@ def register(spark) -> None:
 
 
 def load(spark, kind: str, path: str, **options):
-    """The rows of a source, with `path` resolved like those of Spark's own readers."""
+    """The rows of a source, with `path` resolved like those of Spark's own readers; long manifests are read in parts."""
     register(spark)
-    return spark.read.format(kind).options(**options).load(located(spark, path))
+    path = located(spark, path)
+    if kind == "manifest":
+        options = {"parts": json.dumps(manifest_parts(spark, path)), **options}
+    return spark.read.format(kind).options(**options).load(path)
 
 
 TABLE_BYTES = 32 << 20  # entries of one written table, about
@@ -302,27 +352,67 @@ def write_wal(log, folder: str, start: int = 1, records: int = 1000):
 
 
 def write_manifest(edits, folder: str, number: int = 2) -> None:
-    """Write edits (the columns of the manifest source, some may be absent) as one manifest log, in order of edit_id. Records are encoded by tasks and stream through the driver, as one file has one writer."""
+    """Write edits (the columns of the manifest source, some may be absent) as one manifest log, in order of edit_id.
+
+    Tasks write ranges of edits aside, filled up with zeros to whole blocks, which readers pass over; then one task appends the parts to
+    each other, as one file has one writer. The driver sees a row a part.
+    """
+    import uuid
+
     import pyarrow as pa
 
     spark = edits.sparkSession
+    folder = located(spark, folder)
+    aside = f"{folder}/aside-{uuid.uuid4().hex}"
+    target = f"{folder}/{codec.format_name('MANIFEST', number)}"
     names = [c for c in edits.columns if c not in ("file", "problem")]
 
     def run(batches):
+        out, first = [], None
         for batch in batches:
-            out = []
             for row in batch.to_pylist():
                 edit = dict(row)
                 if edit.get("comparator") is not None:
                     edit["comparator"] = edit["comparator"].encode()
                 for name, fields in (("compaction_pointers", ("level", "key")), ("deleted", ("level", "file_number")), ("added", ("level", "file_number", "file_size", "smallest_key", "largest_key"))):
                     edit[name] = [tuple(x[f] for f in fields) for x in edit.get(name) or []]
-                out.append((row["edit_id"], codec.edit_encode(edit)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["edit_id", "record"])
-
-    encoded = edits.select(*names).mapInArrow(run, "edit_id long, record binary").orderBy("edit_id")
-    put_file(spark, f"{located(spark, folder)}/{codec.format_name('MANIFEST', number)}", codec.log_write([bytes(r.record) for r in encoded.toLocalIterator()]))
+                first = row["edit_id"] if first is None else first
+                out.append(codec.edit_encode(edit))
+        if not out:
+            return
+        system, root = _open(aside)
+        system.create_dir(root, recursive=True)
+        name, data = uuid.uuid4().hex, codec.log_write(out)
+        with system.open_output_stream(f"{root}/{name}") as f:
+            f.write(data)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([len(data)])], ["name", "first", "size"])
+
+    dealt = edits.select(*names).repartitionByRange("edit_id").sortWithinPartitions("edit_id")
+    parts = sorted(dealt.mapInArrow(run, "name string, first long, size long").collect(), key=lambda r: r.first)  # one row a part
+    listed = [(r.name, r.size) for r in parts]
+
+    def append(batches):
+        for _ in batches:
+            system, root = _open(aside)
+            whole = f"{root}/{uuid.uuid4().hex}"
+            with system.open_output_stream(whole) as out:
+                for k, (name, size) in enumerate(listed):
+                    with system.open_input_stream(f"{root}/{name}") as part:
+                        while data := part.read(1 << 22):
+                            out.write(data)
+                    if k + 1 < len(listed):
+                        out.write(bytes(-size % codec.LOG_BLOCK))
+            yield pa.RecordBatch.from_arrays([pa.array([whole.rpartition("/")[2]])], ["name"])
+
+    if not listed:
+        put_file(spark, target, b"")
+        return
+    whole = spark.range(0, 1, 1, 1).mapInArrow(append, "name string").first().name
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(target), False)
+    fs.rename(path(f"{aside}/{whole}"), path(target))
+    fs.delete(path(aside), True)
 
 
 def write_database(flushed, recent, folder: str, level: int = 1, codec_name: str = "snappy", comparator: str = COMPARATOR) -> None:
@@ -354,7 +444,7 @@ def read_database(spark, folder: str, comparator: str = COMPARATOR, tail: str =
     name = read_bytes(spark, f"{folder}/CURRENT").decode("ascii", "replace")
     if not name.endswith("\n") or (codec.parse_name(name[:-1]) or ("",))[0] != "MANIFEST":
         raise codec.Corrupt("CURRENT names no manifest")
-    edits = spark.read.format("manifest").option("mode", "FAILFAST").load(f"{folder}/{name[:-1]}")
+    edits = load(spark, "manifest", f"{folder}/{name[:-1]}", mode="FAILFAST")
     counters = manifest.fold_counters(edits).first()
     lacking = [c for c in ("log_number", "next_file_number", "last_sequence") if counters[c] is None]
     if lacking:

@@ -1,5 +1,6 @@
 """Every registered core query against its SQL, random operation sequences against a dictionary model, codecs and sources."""
 
+import json
 import random
 
 import duckdb
@@ -12,6 +13,7 @@ from sediment.operators import log
 from sediment.operators.batch import BatchError, WriteBatch
 from sediment.plans import planner
 from sediment.plans.store import ConflictError, Store, StoreError
+from sediment.sources import formats
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("customer", "part", "orders", "events", "conversations")
@@ -187,6 +189,37 @@ def test_resolution_edges(spark):
     assert log.resolve(changes.limit(0)).count() == 0
 
 
+def test_log_parts_make_up_the_whole():
+    rng = random.Random(4)
+    block = 64
+    whole = codec.log_write([rng.randbytes(rng.choice((0, 5, 30, 57, 58, 200))) for _ in range(300)], block) + bytes(40)
+    whole += bytes(-len(whole) % block) + codec.log_write([b"after zeros", b"x" * 500], block)
+    for hurt in range(30):
+        data = bytearray(whole)
+        for _ in range(hurt):
+            data[rng.randrange(len(data))] ^= 1 << rng.randrange(8)
+        data = bytes(data[: len(data) - hurt * 3])
+        want = list(codec.log_read(data, block))
+        for step in (1, 2, 7):
+            cuts = range(0, len(data), step * block)
+            assert [x for at in cuts for x in codec.log_part(lambda a, b: data[a:b], len(data), at, at + step * block, block)] == want
+
+
+def test_long_manifest_is_written_and_read_in_parts(spark, tmp_path, monkeypatch):
+    n = F.col("id")
+    edits = spark.range(30_000).select(n.alias("edit_id"), F.when(n % 3 == 0, n).alias("log_number"), F.array(F.struct((n % 7).cast("int").alias("level"), n.alias("file_number"))).alias("deleted"))
+    stream = type(edits).toLocalIterator
+    monkeypatch.setattr(type(edits), "toLocalIterator", lambda *_, **__: pytest.fail("edits reach the driver"))
+    formats.write_manifest(edits.repartition(7), str(tmp_path))
+    monkeypatch.setattr(type(edits), "toLocalIterator", stream)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["MANIFEST-000002"]
+    parts = formats.manifest_parts(spark, formats.located(spark, str(tmp_path)), 1 << 16)
+    assert len(parts) > 3
+    for read in (formats.load(spark, "manifest", str(tmp_path), mode="FAILFAST"), formats.load(spark, "manifest", str(tmp_path), mode="FAILFAST", parts=json.dumps(parts))):
+        got = sorted((r.edit_id, r.log_number, r.deleted[0].file_number) for r in read.collect())
+        assert got == [(k, k if k % 3 == 0 else None, k) for k in range(30_000)]
+
+
 def test_a_span_names_few_blocks(spark):
     rng = random.Random(6)
     spans = [tuple(sorted(rng.choices(range(3000), k=2))) for _ in range(200)] + [(1, (1 << 23) - 2), (0, 0), (15, 16), (16, 31)]
